@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from . import common, mixing
+from . import bpe, common, mixing, token_counts
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_report(common.documents(spark, sf_dir))
 
 
+def op6_token_counts(spark, sf_dir):
+    return token_counts.token_counts(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_bpe_round_trip(spark, sf_dir):
+    return bpe.encode_digests(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
