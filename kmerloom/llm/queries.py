@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, mixing, token_counts
+from . import bpe, common, minhash, mixing, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -11,6 +11,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_report(common.documents(spark, sf_dir))
 
@@ -28,4 +32,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_mix_sources": mixing.MIX_SQL}
+    return {"op1_near_duplicates": minhash.NEAR_SQL, "op4_mix_sources": mixing.MIX_SQL}
