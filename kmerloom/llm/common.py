@@ -68,7 +68,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it survives executors and cuts lineage."""
     spark = df.sparkSession
     folder = scratch_folder(spark, what)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8
+from .common import slices, utf8, written
 
 #: Bytes of text whose pre-tokens share one dictionary.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 48 << 20
 
 # The byte-level splitting pattern and the white space it means.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -103,19 +103,34 @@ def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
 
 
-def count_pieces(tokens: DataFrame, path: str) -> DataFrame:
-    """``pre_token, pieces``: what the library makes of each pre-token by itself."""
+def count_pieces(uses: DataFrame, path: str) -> DataFrame:
+    """``block, place, pieces`` of ``block, place, pre_token``: each distinct pre-token is cut once.
+
+    The uses are dealt out and sorted by pre-token, so equal ones follow each other and the count
+    of the first is merged into the rows of all.
+    """
 
     def run(batches):
         tokenizer = library_tokenizer(path)
+        last, last_pieces = None, 0
         for batch in batches:
-            words = batch.column("pre_token").to_pylist()
-            pieces = []
-            for at in range(0, len(words), 4096):
-                pieces += [len(e.ids) for e in tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(pieces, pa.int32())], names=["pre_token", "pieces"])
-
-    return tokens.mapInArrow(run, "pre_token string, pieces int")
+            if not len(batch):
+                continue
+            coded = batch.column("pre_token").dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = [w for w in words if w != last]
+            pieces = {last: last_pieces}
+            for at in range(0, len(fresh), 4096):
+                part = fresh[at : at + 4096]
+                pieces |= zip(part, (len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
+            counts = np.array([pieces[w] for w in words], np.int32)[coded.indices.to_numpy()]
+            last = words[-1]
+            last_pieces = pieces[last]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(counts)], names=["block", "place", "pieces"])
+
+    parts = int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = uses.repartition(parts, "pre_token").sortWithinPartitions("pre_token")
+    return dealt.mapInArrow(run, "block long, place int, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -126,12 +141,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     each block's distinct pre-tokens and not every document's. Null text is empty: no bytes, no
     tokens. Repeated rows are counted each for itself.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = pre_token_blocks(docs, path).repartition(parts, "block")
-    uses = blocks.select("block", F.posexplode("pre_tokens").alias("place", "pre_token"))
-    pieces = count_pieces(uses.groupBy("pre_token").agg(F.lit(1).alias("one")).select("pre_token"), path)
-    counted = uses.join(pieces, "pre_token").select("block", "place", "pieces")
+    blocks = written(pre_token_blocks(docs, path), "pre-tokens")
+    counted = count_pieces(blocks.select("block", F.posexplode("pre_tokens").alias("place", "pre_token")), path)
     tables = counted.groupBy("block").applyInArrow(_table, "block long, pieces binary")
     joined = blocks.select("block", "doc_ids", "n_bytes", "frequencies").join(tables, "block", "left")
 
