@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, minhash, mixing, token_counts
+from . import bpe, common, minhash, mixing, suffix_dedup, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +27,10 @@ def op8_bpe_round_trip(spark, sf_dir):
     return bpe.encode_digests(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op9_repeated_strings(spark, sf_dir):
+    return suffix_dedup.repeat_report(common.documents(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
