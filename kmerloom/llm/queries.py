@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, minhash, mixing, suffix_dedup, token_counts
+from . import bpe, common, minhash, mixing, suffix_dedup, token_counts, topk
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,10 @@ def op1_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op2_top_k(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_report(common.documents(spark, sf_dir))
 
@@ -36,4 +40,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_near_duplicates": minhash.NEAR_SQL, "op4_mix_sources": mixing.MIX_SQL}
+    return {"op1_near_duplicates": minhash.NEAR_SQL, "op2_top_k": topk.TOP_SQL, "op4_mix_sources": mixing.MIX_SQL}
