@@ -18,6 +18,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words when only letters make words; all bytes over 127 count as letters.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -109,11 +112,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the number of words before it (n + 1 values)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_WHITE[data]
+    inside = ~white[data]
     first = np.empty(len(data), dtype=bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])
@@ -137,6 +140,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_buckets(data: np.ndarray, offsets: np.ndarray, bits: int, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed letter words of each row (buckets of 2^bits, sorted) and their counts.
+
+    For each number in ``prefixes``, longer words also count by so many first bytes.
+    """
+    starts, ends, before = word_spans(data, offsets, NO_LETTER)
+    row = rows_of(np.diff(before))
+    pairs = [row << bits | (word_hashes(data, starts, ends) >> np.uint64(64 - bits)).astype(np.int64)]
+    for n in prefixes:
+        longer = ends - starts > n
+        heads = mix64(word_hashes(data, starts[longer], starts[longer] + n) + np.uint64(n))
+        pairs.append(row[longer] << bits | (heads >> np.uint64(64 - bits)).astype(np.int64))
+    pairs = np.unique(np.concatenate(pairs))
+    return pairs & ((1 << bits) - 1), np.bincount(pairs >> bits, minlength=len(offsets) - 1)
+
+
 def rows_of(counts: np.ndarray) -> np.ndarray:
     """Row number of each of the ``counts[i]`` members of row i."""
     return np.repeat(np.arange(len(counts)), counts)

@@ -20,9 +20,14 @@ SHARE = (75, 100)
 BANDS, ROWS = 40, 5
 #: Probability with which one look at the signatures may drop a pair at the threshold.
 MISS = 1e-6
+#: The same for the first look, at one bit of each minimum, while a bucket is joined.
+MISS_IN_BUCKET = 1e-5
 #: Minima compared before each look at the posterior.
 BATCH = 40
-BITS = 128
+#: Longs that hold the lowest bits of the minima in the rows of buckets.
+PLANE = -(-BANDS * ROWS // 64)
+#: Bits that hold the parity of the number of shingles hashed to each of them.
+PARITY = 1024
 
 _RNG = np.random.default_rng(75)
 _PLACE = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,12 +73,22 @@ def signatures(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PARITY bits of each row: whether an odd number of its shingles has that hash.
+
+    Where two rows differ in a bit, at least one shingle is in one of them only, so the number of
+    unequal bits never exceeds the number of shingles that they do not share.
+    """
+    place = rows_of(counts) * PARITY + (mix64(names + np.uint64(5)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=len(counts) * PARITY) & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, signature``: h1 and h2 name the whole set."""
+    """``doc_id, n_shingles, h1, h2, signature, parity``: h1 and h2 name the whole set."""
 
     def run(batches):
         for batch in batches:
@@ -83,10 +98,10 @@ def describe(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(names ^ np.uint64(salt)))]) for salt in (11, 12)]
                 h1, h2 = (s[ends] - s[ends - counts] for s in sums)
-                minima = signatures(names, counts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), _long(h1), _long(h2), pa.array([m.tobytes() for m in minima], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "signature"])
+                minima, odd = signatures(names, counts), parities(names, counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), _long(h1), _long(h2), pa.array([m.tobytes() for m in minima], pa.binary()), pa.array([o.tobytes() for o in odd], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "signature", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, parity binary")
 
 
 def _minima(column: pa.Array) -> np.ndarray:
@@ -95,21 +110,33 @@ def _minima(column: pa.Array) -> np.ndarray:
 
 
 def band_keys(described: DataFrame) -> DataFrame:
-    """``key, id, n, b1, b2``: one row for each band; b1 and b2 are the lowest bits of the first minima."""
+    """``key, id``: one row for each band."""
 
     def run(batches):
         for batch in batches:
-            minima = _minima(batch.column("signature"))
-            bits = np.packbits((minima[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.uint64)
-            wide = minima.astype(np.uint64).reshape(-1, BANDS, ROWS)
+            wide = _minima(batch.column("signature")).astype(np.uint64).reshape(-1, BANDS, ROWS)
             keys = np.broadcast_to(_BAND[:, ROWS], wide.shape[:2]).copy()
             for k in range(ROWS):
                 keys = mix64(keys ^ (wide[:, :, k] * _BAND[:, k]))
-            rows = rows_of(np.full(len(minima), BANDS))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([_long(keys.ravel()), batch.column("id").take(take), batch.column("n").take(take), _long(bits[rows, 0]), _long(bits[rows, 1])], names=["key", "id", "n", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([_long(keys.ravel()), batch.column("id").take(pa.array(rows_of(np.full(len(wide), BANDS))))], names=["key", "id"])
+
+    return described.select("id", "signature").mapInArrow(run, "key long, id long")
+
+
+def sketches(described: DataFrame) -> DataFrame:
+    """``id, n, s0, ..., o0, ...``: the lowest bit of all minima, and the parity bits."""
+    names = [*[f"s{i}" for i in range(PLANE)], *[f"o{i}" for i in range(PARITY // 64)]]
+
+    def run(batches):
+        for batch in batches:
+            minima = _minima(batch.column("signature"))
+            bits = np.zeros((len(minima), 64 * PLANE), np.uint8)
+            bits[:, : BANDS * ROWS] = minima & 1
+            odd, _ = utf8(batch.column("parity"))
+            both = np.concatenate([np.packbits(bits, axis=1).view(np.uint64), odd.reshape(len(minima), -1).view(np.uint64)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *[_long(both[:, i]) for i in range(len(names))]], names=["id", "n", *names])
 
-    return described.select("id", "n", "signature").mapInArrow(run, "key long, id long, n long, b1 long, b2 long")
+    return described.select("id", "n", "signature", "parity").mapInArrow(run, "id long, n long, " + ", ".join(f"{n} long" for n in names))
 
 
 @lru_cache(maxsize=64)
@@ -126,9 +153,9 @@ def least_matches(seen: int, share: float = SHARE[0] / SHARE[1], miss: float = M
     return seen
 
 
-def most_unequal_bits(miss: float = MISS) -> int:
+def most_unequal() -> int:
     """The same bound for one-bit minima, which agree with probability (1 + similarity) / 2."""
-    return BITS - least_matches(BITS, (1 + SHARE[0] / SHARE[1]) / 2, miss)
+    return BANDS * ROWS - least_matches(BANDS * ROWS, (1 + SHARE[0] / SHARE[1]) / 2, MISS_IN_BUCKET)
 
 
 def plausible(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -200,40 +227,43 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between representatives of equal sets, enough to hold their components together.
+    """Components over representatives of equal sets (``id, component``), and the representatives.
 
     Buckets are worked off in waves. A wave takes the most popular members of every bucket (1,
-    then 4, 16, ... of those left) and compares them with all members of other components so
+    then 16, 256, ... of those left) and compares them with all members of other components so
     far; then they leave the bucket. A bucket is done when its members are of one component or
     all but one have left, so every pair of a bucket is either compared or already connected,
-    and a group of copies costs about as many comparisons as it has members.
+    and a group of copies costs about as many comparisons as it has members. The first look at
+    a pair is part of the join that makes it: parity bits, which never reject a link, and one bit
+    of each minimum.
     """
-    classes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
-    reps = written(classes.select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature")), "minhash-reps")
+    classes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "parity")).alias("r"))
+    reps = written(classes.select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature"), F.col("r.parity").alias("parity")), "minhash-reps")
     bands = band_keys(reps)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(shared, "key"), "minhash-members")
+    members = written(bands.join(shared, "key").distinct(), "minhash-members")
     fame = members.groupBy("id").agg(F.sum(F.log2("size")).alias("fame"))
-    near = fame.select("id")
-    store = written(reps.join(near, "id", "left_semi").select("id", "signature").join(packed_texts(docs), "id").dropDuplicates(["id"]), "minhash-store")
-    left = members.join(fame, "id").select("key", "id", "n", "b1", "b2", "fame", F.col("id").alias("component"))
+    near = written(reps.join(fame, "id").dropDuplicates(["id"]), "minhash-near")
+    store = written(near.select("id", "signature").join(packed_texts(docs), "id").dropDuplicates(["id"]), "minhash-store")
+    left = members.select("key", "id").join(sketches(near).join(near.select("id", "fame"), "id"), "id").withColumn("component", F.col("id"))
     # one doc_id with several texts stands for all of them
     found = written(described.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("b")).where("a <> b").select("a", "b"), "minhash-links")
+    labels = None if found.isEmpty() else components(found)
     tested, pivots = None, 1
     rank = Window.partitionBy("key").orderBy(F.col("fame").desc(), "id")
     while True:
-        left = written(left, "minhash-left")
         mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        left = left.join(mixed, "key")
-        top = left.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= pivots)
-        top = written(top.drop("place"), "minhash-top")
-        if top.isEmpty():
+        left = written(left.join(mixed, "key"), "minhash-left")
+        if left.isEmpty():
             break
+        top = left.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= pivots).drop("place")
         p, m = top.alias("p"), left.alias("m")
         ahead = (F.col("p.fame") > F.col("m.fame")) | ((F.col("p.fame") == F.col("m.fame")) & (F.col("p.id") < F.col("m.id")))
         sizes = F.least("p.n", "m.n") * SHARE[1] >= F.greatest("p.n", "m.n") * SHARE[0]
-        unequal = F.bit_count(F.col("p.b1").bitwiseXOR(F.col("m.b1"))) + F.bit_count(F.col("p.b2").bitwiseXOR(F.col("m.b2")))
-        match = (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & ahead & sizes & (unequal <= most_unequal_bits())
+        unequal = lambda kind, longs: sum((F.bit_count(F.col(f"p.{kind}{i}").bitwiseXOR(F.col(f"m.{kind}{i}"))) for i in range(longs)), F.lit(0))
+        # at the share, the shingles not in common are at most (b - a) / (b + a) of the sum of both sizes
+        apart = unequal("o", PARITY // 64) * (SHARE[1] + SHARE[0]) <= (F.col("p.n") + F.col("m.n")) * (SHARE[1] - SHARE[0])
+        match = (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & ahead & sizes & apart & (unequal("s", PLANE) <= most_unequal())
         pairs = m.join(p, match).select(F.col("m.id").alias("a"), F.col("p.id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -245,8 +275,8 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
             found = found.union(fresh)
             labels = components(found)
             left = left.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pivots *= 4
-    return found, reps
+        pivots *= 16
+    return components(found) if labels is None else labels, reps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -259,8 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     described = written(describe(docs), "minhash-signatures")
-    found, reps = links(docs, described)
-    labels = components(found)
+    labels, reps = links(docs, described)
     rows = described.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"], "left")
     rows = rows.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

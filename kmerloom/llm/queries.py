@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, minhash, mixing, suffix_dedup, token_counts, topk
+from . import bpe, common, langid, minhash, mixing, suffix_dedup, token_counts, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def op2_top_k(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_report(common.documents(spark, sf_dir))
 
@@ -27,6 +31,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark, sf_dir):
+    return langid.language_report(common.documents(spark, sf_dir))
+
+
 def op8_bpe_round_trip(spark, sf_dir):
     return bpe.encode_digests(common.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
