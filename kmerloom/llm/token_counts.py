@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from .common import slices, utf8, written
 
 #: Bytes of text whose pre-tokens share one dictionary.
 BLOCK_BYTES = 48 << 20
+#: Parts of the set of all pre-tokens that are counted one at a time.
+BUCKETS = 512
 
 # The byte-level splitting pattern and the white space it means.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -25,10 +28,10 @@ _SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 
 _BLOCK = T.StructType([
     T.StructField("block", T.LongType()),
+    T.StructField("bucket", T.IntegerType()),
     T.StructField("doc_ids", T.ArrayType(T.LongType())),
     T.StructField("n_bytes", T.ArrayType(T.LongType())),
-    T.StructField("frequencies", T.BinaryType()),
-    T.StructField("pre_tokens", T.ArrayType(T.StringType())),
+    T.StructField("packed", T.BinaryType()),
 ])
 
 
@@ -57,27 +60,53 @@ def splitter(path: str):
     return split
 
 
-def pack(columns: list[np.ndarray], counts: list[int]) -> bytes:
-    """Counts per row, then dictionary positions as differences, then frequencies less one."""
-    idx = np.concatenate(columns[0::2] or [np.zeros(0, np.int32)]).astype(np.int32)
-    freq = np.concatenate(columns[1::2] or [np.zeros(0, np.int32)]).astype(np.int32)
-    steps = np.diff(idx, prepend=np.int32(0)).astype(np.int32)
-    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 4).T.ravel(), (freq - 1).view(np.uint8).reshape(-1, 4).T.ravel()])
-    head = np.array([len(counts), len(idx), *counts], dtype=np.int64).tobytes()
-    return zstandard.compress(head + planes.tobytes(), 3)
+def _planes(*columns: np.ndarray) -> bytes:
+    """32-bit columns of one length, byte by byte, compressed."""
+    return zstandard.compress(b"".join(c.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 3)
 
 
-def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = zstandard.decompress(raw)
-    rows, n = np.frombuffer(data, np.int64, 2)
-    counts = np.frombuffer(data, np.int64, rows, 16)
-    planes = np.frombuffer(data, np.uint8, 8 * n, 16 + 8 * rows).reshape(8, n)
-    word = lambda p: np.ascontiguousarray(p.T).view(np.int32).ravel()
-    return counts, np.cumsum(word(planes[:4]), dtype=np.int32), word(planes[4:]) + 1
+def _columns(raw: bytes, k: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(k, 4, -1)
+    return [np.ascontiguousarray(p.T).view(np.int32).ravel() for p in planes]
+
+
+def pack_rows(rows: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """Rows of dictionary places (rising, kept as differences) and frequencies."""
+    counts = np.array([len(r[0]) for r in rows], np.int32)
+    steps = [np.diff(r[0], prepend=0) for r in rows]
+    empty = [np.zeros(0, np.int32)]
+    body = _planes(np.concatenate(steps or empty), np.concatenate([r[1] for r in rows] or empty) - 1)
+    return len(counts).to_bytes(4, "little") + counts.tobytes() + body
+
+
+def unpack_rows(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    counts = np.frombuffer(raw, np.int32, n, 4).astype(np.int64)
+    steps, less = _columns(raw[4 + 4 * n :], 2)
+    run = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate([[0], run])[np.cumsum(counts) - counts]
+    return counts, run - np.repeat(before, counts), less + 1
+
+
+def pack_words(places: list[int], words: list[str]) -> bytes:
+    column = pa.array(words, pa.string())
+    _, where, data = column.buffers()
+    text = zstandard.compress((data.to_pybytes() if data else b""), 3)
+    head = _planes(np.array(places), np.diff(np.frombuffer(where, np.int32, len(words) + 1)))
+    return len(head).to_bytes(4, "little") + head + text
+
+
+def unpack_words(raw: bytes) -> tuple[np.ndarray, list[str]]:
+    n = int.from_bytes(raw[:4], "little")
+    places, sizes = _columns(raw[4 : 4 + n], 2)
+    where = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    column = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(where.tobytes()), pa.py_buffer(zstandard.decompress(raw[4 + n :])))
+    return places, column.to_pylist()
 
 
 def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
-    """Per block of documents: their pre-token frequencies by position in the block's dictionary."""
+    """Per block of documents: their pre-token frequencies by place in the block's dictionary
+    (bucket null), and the dictionary in rows of the words of one bucket."""
 
     def run(batches):
         split = splitter(path)
@@ -88,49 +117,54 @@ def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
             for a, b in slices(offsets, BLOCK_BYTES):
                 place: dict[str, int] = defaultdict()
                 place.default_factory = place.__len__
-                columns, counts = [], []
+                rows = []
                 for text in batch.column("text").slice(a, b - a):
                     found = Counter(split(text.as_py() or ""))
-                    columns += [np.fromiter(map(place.__getitem__, found), np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))]
-                    counts.append(len(found))
-                packed = pack(columns, counts)
+                    at, n = np.fromiter(map(place.__getitem__, found), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+                    order = np.argsort(at)
+                    rows.append((at[order], n[order]))
+                packed = pack_rows(rows)
                 name = xxhash.xxh64_intdigest(packed + repr(ids[a:b]).encode()) - 2**63
+                buckets: dict[int, tuple[list[int], list[str]]] = {}
+                for word in sorted(place):
+                    places, words = buckets.setdefault(zlib.crc32(word.encode()) % BUCKETS, ([], []))
+                    places.append(place[word])
+                    words.append(word)
+                n = len(buckets)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name], pa.int64()), pa.array([ids[a:b]], pa.list_(pa.int64())), pa.array([lengths[a:b].tolist()], pa.list_(pa.int64())), pa.array([packed], pa.binary()), pa.array([list(place)], pa.list_(pa.string()))],
+                    [pa.array([name] * (n + 1), pa.int64()), pa.array([None, *buckets], pa.int32()), pa.array([ids[a:b], *[None] * n], pa.list_(pa.int64())), pa.array([lengths[a:b].tolist(), *[None] * n], pa.list_(pa.int64())), pa.array([packed, *[pack_words(*x) for x in buckets.values()]], pa.binary())],
                     names=_BLOCK.names,
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
 
 
-def count_pieces(uses: DataFrame, path: str) -> DataFrame:
-    """``block, place, pieces`` of ``block, place, pre_token``: each distinct pre-token is cut once.
+def count_pieces(dictionaries: DataFrame, path: str) -> DataFrame:
+    """``block, packed`` (places and pieces) of ``block, bucket, packed``: each distinct pre-token is cut once.
 
-    The uses are dealt out and sorted by pre-token, so equal ones follow each other and the count
-    of the first is merged into the rows of all.
+    A bucket's rows come from all blocks to one place, one after another; what a row has in
+    common with those before it is known already. BUCKETS bounds what is remembered at a time
+    to that share of all distinct pre-tokens.
     """
 
     def run(batches):
         tokenizer = library_tokenizer(path)
-        last, last_pieces = None, 0
+        bucket, known = None, {}
         for batch in batches:
-            if not len(batch):
-                continue
-            coded = batch.column("pre_token").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            fresh = [w for w in words if w != last]
-            pieces = {last: last_pieces}
-            for at in range(0, len(fresh), 4096):
-                part = fresh[at : at + 4096]
-                pieces |= zip(part, (len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
-            counts = np.array([pieces[w] for w in words], np.int32)[coded.indices.to_numpy()]
-            last = words[-1]
-            last_pieces = pieces[last]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(counts)], names=["block", "place", "pieces"])
-
-    parts = int(uses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = uses.repartition(parts, "pre_token").sortWithinPartitions("pre_token")
-    return dealt.mapInArrow(run, "block long, place int, pieces int")
+            packed = []
+            for own, raw in zip(batch.column("bucket").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                places, words = unpack_words(raw)
+                fresh = [w for w in words if w not in known]
+                for at in range(0, len(fresh), 4096):
+                    part = fresh[at : at + 4096]
+                    known.update(zip(part, (len(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+                packed.append(_planes(places, np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+    parts = int(dictionaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dictionaries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, packed binary")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -142,14 +176,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     tokens. Repeated rows are counted each for itself.
     """
     blocks = written(pre_token_blocks(docs, path), "pre-tokens")
-    counted = count_pieces(blocks.select("block", F.posexplode("pre_tokens").alias("place", "pre_token")), path)
+    counted = count_pieces(blocks.where("bucket IS NOT NULL").select("block", "bucket", "packed"), path)
     tables = counted.groupBy("block").applyInArrow(_table, "block long, pieces binary")
-    joined = blocks.select("block", "doc_ids", "n_bytes", "frequencies").join(tables, "block", "left")
+    joined = blocks.where("bucket IS NULL").select("block", "doc_ids", "n_bytes", "packed").join(tables, "block", "left")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                counts, idx, freq = unpack(row["frequencies"])
+                counts, idx, freq = unpack_rows(row["packed"])
                 pieces = np.frombuffer(row["pieces"] or b"", np.int32)
                 ends = np.concatenate([[0], np.cumsum(freq.astype(np.int64) * pieces[idx])])
                 stops = np.cumsum(counts)
@@ -161,7 +195,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 def _table(table: pa.Table) -> pa.Table:
     """Pieces of a block's pre-tokens in dictionary order; a block's dictionary is bounded by BLOCK_BYTES."""
-    place = table.column("place").to_numpy()
-    pieces = np.zeros(len(place), np.int32)
-    pieces[place] = table.column("pieces").to_numpy()
+    rows = [_columns(raw, 2) for raw in table.column("packed").to_pylist()]
+    pieces = np.zeros(sum(len(p) for p, _ in rows), np.int32)
+    for places, n in rows:
+        pieces[places] = n
     return pa.table({"block": table.column("block").slice(0, 1), "pieces": pa.array([pieces.tobytes()], pa.binary())})
