@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct words whose ids a worker remembers (in each of two generations).
@@ -132,25 +133,27 @@ def encoder(path: str) -> HeapBPE:
     return HeapBPE(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of long) and ``decoded`` (string) instead of nothing lost.
+def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of each row with ``n_tokens``, ``ids`` and ``decoded`` (what the ids decode to).
 
-    Null text counts as empty: no ids and an empty decoded text. Columns of these names are
-    replaced. Each document is encoded by itself, so ties, repeats and order do not matter.
+    Null text counts as empty: no ids and an empty decoded text. Each document is encoded by
+    itself, so ties, repeats and order do not matter; other columns are left out.
     """
-    kept = [f for f in docs.schema.fields if f.name.lower() not in ("ids", "decoded")]
-    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("decoded", T.StringType())])
-    names = [f.name for f in kept]
+    fields = [docs.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         bpe = encoder(path)
         for batch in batches:
-            raw = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
-            ids = pa.array([np.frombuffer(r, "<u4").astype(np.int64) for r in raw], pa.list_(pa.int64()))
-            decoded = pa.array([bpe.decode(r) for r in raw], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], ids, decoded], names=[*names, "ids", "decoded"])
-
-    return docs.select(*[f"`{n}`" for n in dict.fromkeys([*names, text_col])]).mapInArrow(run, schema)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                raw = [bpe.encode(t.as_py() or "") for t in part.column("_text")]
+                where = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(where), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                decoded = pa.array([bpe.decode(r) for r in raw], pa.string())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(np.diff(where).astype(np.int64)), ids, decoded], names=schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, slices, utf8
+from .common import crc_fold, fresh_name, slices, utf8
 
 #: The sample that is learned from: whole labelled texts of at most so many bytes, in order of a
 #: hash, until a language has so many bytes.
@@ -185,6 +185,23 @@ def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int
     return docs.select(*[F.col(f"`{c}`") for c in keep], fold, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, least: float = 0.01) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the learned languages, unchanged.
+
+    Rejected: ``und`` (no letter, null), and texts for which the best language needs hardly
+    fewer phrases than the next (a score under ``least``). Where nothing can be learned (no
+    labelled row), every text with a letter is accepted.
+    """
+    parser = learn(docs)
+    if not parser.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    mark = fresh_name(docs, "row")
+    carried = docs.withColumn(mark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    judged = identify(carried, parser, keep=(mark,))
+    judged = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return judged.select(*[F.col(f"{mark}.`{c}`").alias(c) for c in docs.columns])
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row; see :func:`identify`."""
     docs = docs.select("doc_id", "text", "lang")

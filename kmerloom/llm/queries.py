@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, common, langid, minhash, mixing, suffix_dedup, token_counts, topk, toxicity
+from . import bpe, common, langid, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, topk, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -11,6 +11,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -20,13 +24,17 @@ def op2_top_k(spark, sf_dir):
 
 
 def op3_toxicity(spark, sf_dir):
-    return toxicity.toxicity(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.toxicity(common.documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix_report(common.documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.quality_report(common.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts.token_counts(common.documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -43,6 +51,10 @@ def op9_repeated_strings(spark, sf_dir):
     return suffix_dedup.repeat_report(common.documents(spark, sf_dir))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(common.documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
