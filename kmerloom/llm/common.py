@@ -72,7 +72,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     folder = scratch_folder(spark, what)
     df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.written_to = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and that nothing reads any more."""
+    for table in tables:
+        folder = getattr(table, "written_to", None)
+        if folder:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

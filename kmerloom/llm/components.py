@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,12 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     edges = written(links.union(links.select("b", "a")).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    last = labels
     while True:
         heard = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("heard"))
         step = labels.join(heard.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("component", F.coalesce("heard", "component")).alias("next"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("beyond"))
         step = step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("beyond", "next")).alias("component"), "was")
         step = written(step, "labels")
-        labels = step.select("id", "component")
+        discard(last)
+        last, labels = step, step.select("id", "component")
         if step.where("component <> was").isEmpty():
+            discard(edges)
             return labels

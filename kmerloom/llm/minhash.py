@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, rows_of, slices, utf8, word_hashes, word_spans, written
+from .common import discard, mix64, rows_of, slices, utf8, word_hashes, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -249,11 +249,13 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     # one doc_id with several texts stands for all of them
     found = written(described.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("b")).where("a <> b").select("a", "b"), "minhash-links")
     labels = None if found.isEmpty() else components(found)
-    tested, pivots = None, 1
+    tested, pivots, last, all_pairs = None, 1, [], []
     rank = Window.partitionBy("key").orderBy(F.col("fame").desc(), "id")
     while True:
         mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        left = written(left.join(mixed, "key"), "minhash-left")
+        before, left = last, written(left.join(mixed, "key"), "minhash-left")
+        discard(*before)
+        last = [left]
         if left.isEmpty():
             break
         top = left.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= pivots).drop("place")
@@ -268,6 +270,7 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "minhash-pairs")
+        all_pairs.append(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         fresh = written(confirm(prune(pairs, store), store), "minhash-links")
         left = left.join(top.select("key", "id"), ["key", "id"], "left_anti")
@@ -276,7 +279,9 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
             labels = components(found)
             left = left.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pivots *= 16
-    return components(found) if labels is None else labels, reps
+    labels = components(found) if labels is None else labels
+    discard(members, near, store, *last, *all_pairs)
+    return labels, reps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
