@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, fresh_name, slices, utf8
+from .common import crc_fold, slices, utf8
 
 #: The sample that is learned from: whole labelled texts of at most so many bytes, in order of a
 #: hash, until a language has so many bytes.
@@ -17,7 +17,7 @@ SAMPLE_TEXT_BYTES = 4000
 SAMPLE_BYTES = 24_000
 #: Symbols that are parsed side by side; a longer text is parsed in pieces of so many.
 PIECE = 256
-UNIT_BYTES = 2 << 20
+UNIT_BYTES = 1 << 20
 
 _CLASS = np.zeros(256, np.int64)
 for _i in range(26):
@@ -147,8 +147,29 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> CrossParser:
     return CrossParser(samples)
 
 
-def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of each row with ``held_out, lang_pred, score``.
+def judge(parser: CrossParser, column: pa.Array):
+    """(first row, row after the last, names, scores) for runs of rows of a text column."""
+    data, offsets = utf8(column)
+    for a, b in slices(offsets, UNIT_BYTES):
+        names, scores = [], np.zeros(b - a)
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        classes, where = symbols(part, at)
+        ascii_letters = np.concatenate([[0], np.cumsum((classes > 0) & (classes < 27))])[where]
+        rates = parser.phrases(classes, where) if parser.languages else np.zeros((0, b - a))
+        for i in range(b - a):
+            lettered = ascii_letters[i + 1] > ascii_letters[i] or any(map(str.isalpha, part[at[i] : at[i + 1]].tobytes().decode()))
+            if not lettered or not parser.languages:
+                names.append("und")
+                continue
+            best = int(rates[:, i].argmin())
+            others = np.delete(rates[:, i], best)
+            names.append(parser.languages[best])
+            scores[i] = (others.min() - rates[best, i]) / others.min() if len(others) else 1.0
+        yield a, b, names, scores
+
+
+def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int = 2) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of each row.
 
     The prediction is ``und`` with score 0 where text is null or has no letter, or nothing was
     learned. Ties go to the language whose name is first. The score is how much fewer phrases
@@ -156,33 +177,16 @@ def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int
     of a row is used; rows with equal ids are predicted each by itself.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(parser)
-    fields = [docs.schema[c] for c in keep]
-    schema = T.StructType([*fields, T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        p = shipped.value
         for batch in batches:
-            data, offsets = utf8(batch.column("_text"))
-            names, scores = [], []
-            for a, b in slices(offsets, UNIT_BYTES):
-                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                classes, where = symbols(part, at)
-                ascii_letters = np.concatenate([[0], np.cumsum((classes > 0) & (classes < 27))])[where]
-                rates = p.phrases(classes, where) if p.languages else np.zeros((0, b - a))
-                for i in range(b - a):
-                    lettered = ascii_letters[i + 1] > ascii_letters[i] or any(map(str.isalpha, part[at[i] : at[i + 1]].tobytes().decode()))
-                    if not lettered or not p.languages:
-                        names.append("und")
-                        scores.append(0.0)
-                        continue
-                    best = int(rates[:, i].argmin())
-                    others = np.delete(rates[:, i], best)
-                    names.append(p.languages[best])
-                    scores.append(float((others.min() - rates[best, i]) / others.min()) if len(others) else 1.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            for a, b, names, scores in judge(shipped.value, batch.column("text")):
+                rows = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
     fold = (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out")
-    return docs.select(*[F.col(f"`{c}`") for c in keep], fold, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select("doc_id", fold, "text").mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, least: float = 0.01) -> DataFrame:
@@ -195,11 +199,15 @@ def accepted(docs: DataFrame, least: float = 0.01) -> DataFrame:
     parser = learn(docs)
     if not parser.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    mark = fresh_name(docs, "row")
-    carried = docs.withColumn(mark, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = identify(carried, parser, keep=(mark,))
-    judged = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return judged.select(*[F.col(f"{mark}.`{c}`").alias(c) for c in docs.columns])
+    shipped = docs.sparkSession.sparkContext.broadcast(parser)
+
+    def run(batches):
+        for batch in batches:
+            for a, b, names, scores in judge(shipped.value, batch.column("text")):
+                kept = np.array([n != "und" for n in names], bool) & (scores >= least)
+                yield batch.slice(a, b - a).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -82,6 +82,19 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, size: int, prior: float) -> t
     return w, b
 
 
+def best_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The logit from which the same risk, with errors counted as they are, is least.
+
+    Among equals the cut that misses fewest positives, in the middle of the gap below it.
+    """
+    levels = np.unique(np.concatenate([positive, unlabelled]))
+    missed = np.searchsorted(np.sort(positive), levels, side="left") / max(1, len(positive))
+    marked = 1 - np.searchsorted(np.sort(unlabelled), levels, side="left") / max(1, len(unlabelled))
+    risk = prior * missed + np.maximum(0, marked - prior * (1 - missed))
+    at = int(np.argmin(np.round(risk, 12)))
+    return float((levels[at] + levels[at - 1]) / 2 if at else levels[at] - 1)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
     """Buckets of positives and of unlabelled rows, and the class prior of the labelled rows.
 
@@ -117,8 +130,11 @@ class Model:
         pick = lambda rows: Sparse([p[p >= 0] for p in (place[r] for r in rows)])
         self.weights, self.bias = np.zeros(1 << BITS), 0.0
         if positives and len(used):
-            w, self.bias = fit_nnpu(pick(positives), pick(unlabelled), len(used), prior)
+            p, u = pick(positives), pick(unlabelled)
+            w, self.bias = fit_nnpu(p, u, len(used), prior)
             self.weights[used] = w
+            # half the way: the cut lies where unlabelled rows begin to look as toxic as the prior allows
+            self.bias -= 0.5 * best_cut(p.times(w) + self.bias, u.times(w) + self.bias, prior)
         else:
             self.bias = float(np.log(prior / (1 - prior)))
 
