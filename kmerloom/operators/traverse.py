@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..plans.graph import Graph
+from ..plans import local as one_task
 from ..plans.persist import written
 from .unitigs import Unitigs, find_unitigs
 from .views import degrees, without
@@ -18,6 +19,11 @@ class BudgetExceeded(ValueError):
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` of ``nodes (id)``: the least id reachable over ``edges (a, b)``, by rounds of joins."""
+    plain = written(edges.select("a", "b").distinct(), "edges")
+    if one_task.is_small(plain):
+        found = one_task.components(plain)
+        return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    edges = plain
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = written(nodes.select("id", F.col("id").alias("component")), "labels")
     while True:

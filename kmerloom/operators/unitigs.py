@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..plans.graph import Graph, to_wide
+from ..plans import local as one_task
 from ..plans.persist import written
 from .views import oriented_edges
 
@@ -36,13 +40,17 @@ def oriented_summary(graph: Graph) -> DataFrame:
     return n.select("kmer", "present", F.explode(both).alias("o")).select("o.node", "kmer", "present", "o.after", "o.before", "o.has_before", "o.has_after")
 
 
-def _rank(pointers: DataFrame) -> DataFrame:
-    """``node, head, pos, low, done``: distance to the head of the chain, by doubling.
+def _double(pointers: DataFrame) -> DataFrame:
+    """``node, head, pos, low, done`` of ``node, ptr, weight``: distance to the head of the chain.
 
-    ``pointers`` has ``node`` and ``ptr``, the node before it (null at a head). Members of cycles
-    never find a head: they come back with done = false and the least node of the cycle.
+    ``ptr`` is the node before (null at a head) and ``weight`` the distance to it. Each round
+    replaces a pointer by that of its target, so distances double. Members of cycles never find
+    a head: they come back with done = false and the least node of the cycle.
     """
-    state = pointers.select("node", F.coalesce("ptr", "node").alias("head"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("pos"), F.least("node", F.coalesce("ptr", "node")).alias("low"), F.col("ptr").isNull().alias("done"))
+    if one_task.is_small(pointers):
+        return one_task.chains(pointers)
+    head = F.col("ptr").isNull()
+    state = pointers.select("node", F.coalesce("ptr", "node").alias("head"), F.when(head, 0).otherwise(F.col("weight")).cast("long").alias("pos"), F.least("node", F.coalesce("ptr", "node")).alias("low"), head.alias("done"))
     state = written(state, "chains")
     finished, active = state.where("done"), state.where("NOT done")
     count, reach = active.count(), 1
@@ -59,6 +67,51 @@ def _rank(pointers: DataFrame) -> DataFrame:
     return finished.unionByName(active)
 
 
+#: Bases of the shortest words by which neighbouring k-mers come to one place.
+MINIMIZER = 9
+
+
+def minimizer(kmer: str, k: int) -> Column:
+    """The least hash of the short words of either strand; neighbours mostly share it."""
+    m = min(MINIMIZER, k)
+    least = lambda c: F.array_min(F.transform(F.sequence(F.lit(1), F.lit(k - m + 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(m)))))
+    return F.least(least(F.col(kmer)), least(dna.revcomp(kmer)))
+
+
+def _local_chains(batches):
+    """Chains within one partition: ``node, ptr, lhead, lpos``; numpy doubling over its rows."""
+    table = pa.Table.from_batches(list(batches))
+    if not len(table):
+        return
+    node, ptr = table.column("node").combine_chunks(), table.column("ptr").combine_chunks()
+    before = pc.fill_null(pc.index_in(ptr, value_set=node, skip_nulls=True), -1).to_numpy().astype(np.int64)
+    n = len(before)
+    jump, pos = np.where(before >= 0, before, np.arange(n)), (before >= 0).astype(np.int64)
+    for _ in range(n.bit_length() + 1):
+        pos, jump = pos + pos[jump], jump[jump]
+    loop = before[jump] >= 0
+    jump[loop], pos[loop] = np.flatnonzero(loop), 0
+    yield pa.RecordBatch.from_arrays([node, ptr, node.take(pa.array(jump)), pa.array(pos)], names=["node", "ptr", "lhead", "lpos"])
+
+
+def _rank(pointers: DataFrame, k: int) -> DataFrame:
+    """``node, head, pos, done`` of ``node, kmer, ptr``: chains are first closed up within partitions.
+
+    K-mers are dealt out by minimizer, so most pointers stay in a partition; what is doubled
+    across the cluster are only the heads of these local chains.
+    """
+    pointers = written(pointers, "pointers")
+    if one_task.is_small(pointers):
+        return one_task.chains(pointers.withColumn("weight", F.lit(1))).select("node", "head", "pos", "done")
+    dealt = pointers.withColumn("part", minimizer("kmer", k)).repartition("part").select("node", "ptr")
+    local = written(dealt.mapInArrow(_local_chains, "node string, ptr string, lhead string, lpos long"), "local-chains")
+    heads = local.where("node = lhead").select("node", "ptr")
+    before = local.select(F.col("node").alias("ptr"), "lhead", (F.col("lpos") + 1).alias("weight"))
+    across = heads.join(before, "ptr", "left").select("node", F.col("lhead").alias("ptr"), "weight")
+    ranked = _double(written(across, "chain-heads")).select(F.col("node").alias("lhead"), "head", F.col("pos").alias("hpos"), "done")
+    return local.join(ranked, "lhead").select("node", "head", (F.col("lpos") + F.col("hpos")).alias("pos"), "done")
+
+
 @dataclass(frozen=True)
 class Unitigs:
     """``members``: ``head, pos, node, kmer, is_cycle`` of oriented unitigs, both strands of each;
@@ -98,14 +151,16 @@ def find_unitigs(graph: Graph) -> Unitigs:
     k = graph.k
     x = o.where("after IS NOT NULL").select(F.col("node").alias("ptr"), F.concat(F.substring("node", 2, k - 1), "after").alias("node"), F.col("present").alias("px"), F.col("kmer").alias("kx"), F.substring("node", 1, 1).alias("first"))
     linked = o.select("node", "kmer", "present", "before").join(x, "node").where("before = first AND present = px AND kmer <> kx").select("node", "ptr")
-    chains = _rank(o.select("node").join(linked, "node", "left"))
+    chains = written(_rank(o.select("node", "kmer").join(linked, "node", "left"), k), "ranked")
     lines = chains.where("done").select("node", "head", "pos", F.lit(False).alias("is_cycle"))
-    loops = chains.where("NOT done").select("node", "low")
+    loops = chains.where("NOT done").select("node")
     if not loops.isEmpty():
-        loops = written(loops, "loops")
-        cut = linked.join(loops, "node").select("node", F.when(F.col("node") != F.col("low"), F.col("ptr")).alias("ptr"))
+        weight = F.lit(1).alias("weight")
+        loops = written(linked.join(loops, "node", "left_semi").select("node", "ptr", weight), "loops")
+        low = _double(loops).select("node", "low")
+        cut = loops.join(low, "node").select("node", F.when(F.col("node") != F.col("low"), F.col("ptr")).alias("ptr"), "weight")
         # twins of cycles: the one that holds the smaller string is primary
-        lines = lines.unionByName(_rank(cut).select("node", "head", "pos", F.lit(True).alias("is_cycle")))
+        lines = lines.unionByName(_double(cut).select("node", "head", "pos", F.lit(True).alias("is_cycle")))
     members = written(lines.join(o.select("node", "kmer", "has_before"), "node").select("head", "pos", "node", "kmer", "is_cycle", "has_before"), "members")
     runs = members.groupBy("head", "is_cycle").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("r"), F.max(F.when(F.col("pos") == 0, F.col("has_before"))).alias("has_before"), F.min("kmer").alias("least_kmer"), F.min("node").alias("least_node"))
     contig = F.concat(F.substring("head", 1, k - 1), F.array_join(F.transform("r.node", lambda n: F.substring(n, k, 1)), ""))
