@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder that spark.checkpoint.dir names.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where the setting is absent (tests, a
+    laptop) a folder of this machine."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+
 
-    Only where the setting is absent (tests, a laptop) a folder of this machine is taken.
-    """
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    folder = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)

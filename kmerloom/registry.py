@@ -7,8 +7,7 @@ contigs and seeds. Every query reads its tables whole.
 from __future__ import annotations
 
 import io
-import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import dna
 from .operators import align, lookup, paths, traverse, unitigs, views
 from .plans import graph as g
-from .plans.persist import written
+from .plans.persist import shared_root, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: k of scans and aggregates, and of operators that walk the graph.
@@ -503,14 +502,9 @@ def binary_roundtrip(spark, sf):
     """Write the graph as a file, read it back in splits."""
     from .sources import binary
 
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, "graph.bin")
-    base = graph(spark, sf, LONG_K)
-    binary.write_graph_file(base, path)
-    back = written(binary.read_graph_file(spark, path).nodes, "read-back")
-    os.remove(path)
-    os.rmdir(folder)
-    return back
+    path = f"{shared_root(spark)}/graph-{uuid.uuid4().hex}.bin"
+    binary.write_graph_file(graph(spark, sf, LONG_K), path)
+    return written(binary.read_graph_file(spark, path).nodes, "read-back")
 
 
 @query("x AS (SELECT 1) SELECT * FROM (VALUES (6, 31, 1, 4, 28)) h(version, k, words, colors, record_size)")
