@@ -248,7 +248,7 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = members.select("key", "id").join(sketches(near).join(near.select("id", "fame"), "id"), "id").withColumn("component", F.col("id"))
     # one doc_id with several texts stands for all of them
     found = written(described.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("b")).where("a <> b").select("a", "b"), "minhash-links")
-    labels = None if found.isEmpty() else components(found)
+    labels, late = None, False
     tested, pivots, last, all_pairs = None, 1, [], []
     rank = Window.partitionBy("key").orderBy(F.col("fame").desc(), "id")
     while True:
@@ -275,11 +275,13 @@ def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
         fresh = written(confirm(prune(pairs, store), store), "minhash-links")
         left = left.join(top.select("key", "id"), ["key", "id"], "left_anti")
         if not fresh.isEmpty():
-            found = found.union(fresh)
+            found, late = found.union(fresh), pivots > 1
+        if pivots == 1 and not late and labels is None and not found.isEmpty():
+            # the first wave joins nearly all; later links are few and joined at the end
             labels = components(found)
             left = left.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pivots *= 16
-    labels = components(found) if labels is None else labels
+    labels = components(found) if labels is None or late else labels
     discard(members, near, store, *last, *all_pairs)
     return labels, reps
 
