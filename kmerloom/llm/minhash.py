@@ -24,7 +24,7 @@ MISS = 1e-6
 MISS_IN_BUCKET = 1e-5
 #: Minima compared before each look at the posterior.
 BATCH = 40
-#: Longs that hold the lowest bits of the minima in the rows of buckets.
+#: Longs that hold one bit of each minimum in the rows of buckets.
 PLANE = -(-BANDS * ROWS // 64)
 #: Bits that hold the parity of the number of shingles hashed to each of them.
 PARITY = 1024
@@ -123,15 +123,25 @@ def band_keys(described: DataFrame) -> DataFrame:
     return described.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
+def one_bits(minima: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, of a hash of the minimum and its index.
+
+    No bit of the minimum itself: the lowest is a bit of the shingle (xor a constant), so with few
+    shingles the bits of all minima would be unequal together.
+    """
+    index = np.arange(BANDS * ROWS, dtype=np.uint64) << np.uint64(32)
+    return (mix64(minima.astype(np.uint64) ^ index) & np.uint64(1)).astype(np.uint8)
+
+
 def sketches(described: DataFrame) -> DataFrame:
-    """``id, n, s0, ..., o0, ...``: the lowest bit of all minima, and the parity bits."""
+    """``id, n, s0, ..., o0, ...``: one bit of all minima, and the parity bits."""
     names = [*[f"s{i}" for i in range(PLANE)], *[f"o{i}" for i in range(PARITY // 64)]]
 
     def run(batches):
         for batch in batches:
             minima = _minima(batch.column("signature"))
             bits = np.zeros((len(minima), 64 * PLANE), np.uint8)
-            bits[:, : BANDS * ROWS] = minima & 1
+            bits[:, : BANDS * ROWS] = one_bits(minima)
             odd, _ = utf8(batch.column("parity"))
             both = np.concatenate([np.packbits(bits, axis=1).view(np.uint64), odd.reshape(len(minima), -1).view(np.uint64)], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *[_long(both[:, i]) for i in range(len(names))]], names=["id", "n", *names])

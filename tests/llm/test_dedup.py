@@ -68,6 +68,26 @@ def test_many_equal_and_near_copies_of_one_text(spark):
     assert near(spark, rows) == brute_near(rows)
 
 
+def test_short_near_copies_equal_brute_force(spark):
+    rng = random.Random(17)
+    texts = []
+    for n in [7] * 120 + [9, 10, 11, 12, 13, 14] * 15:
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join([*words, f"w{rng.randrange(10**9)}"])]
+    rows = list(enumerate(texts))
+    expected = brute_near(rows)
+    assert sum(not kept for _, _, kept in expected.values()) == 210
+    assert near(spark, rows) == expected
+
+
+def test_the_first_look_keeps_small_sets_at_the_share():
+    rng = np.random.default_rng(4)
+    for common, more in ((3, 1), (6, 2), (9, 3), (15, 5)):
+        sets = rng.integers(0, 2**63, (3000, common + more), dtype=np.uint64)
+        one, two = (minhash.one_bits(minhash.signatures(x.ravel(), np.full(len(x), x.shape[1]))) for x in (sets, sets[:, :common]))
+        assert (one != two).sum(axis=1).max() <= minhash.most_unequal()
+
+
 def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, h1 long")
     assert minhash.near_duplicates(empty).collect() == []
