@@ -189,12 +189,12 @@ def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int
     return docs.select("doc_id", fold, "text").mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, least: float = 0.01) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the learned languages, unchanged.
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` for which :func:`identify` names a language, unchanged.
 
-    Rejected: ``und`` (no letter, null), and texts for which the best language needs hardly
-    fewer phrases than the next (a score under ``least``). Where nothing can be learned (no
-    labelled row), every text with a letter is accepted.
+    Rejected: ``und`` (no letter, null). A tie between learned languages is no reason to reject:
+    short texts need few phrases in any of them. Where nothing can be learned (no labelled row),
+    every text with a letter is accepted.
     """
     parser = learn(docs)
     if not parser.languages:
@@ -203,8 +203,8 @@ def accepted(docs: DataFrame, least: float = 0.01) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, names, scores in judge(shipped.value, batch.column("text")):
-                kept = np.array([n != "und" for n in names], bool) & (scores >= least)
+            for a, b, names, _ in judge(shipped.value, batch.column("text")):
+                kept = np.array([n != "und" for n in names], bool)
                 yield batch.slice(a, b - a).filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

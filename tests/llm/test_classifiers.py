@@ -102,6 +102,14 @@ def test_accepted_rows_are_unchanged(spark, small):
     assert {r[:5] for r in kept} <= {tuple(r) for r in rows} and {r[0] for r in kept} >= set(range(240))
 
 
+def test_ties_between_languages_are_accepted(spark):
+    rng = random.Random(8)
+    text = prose(rng, "aa", 300)
+    rows = [(i, text, x) for i, x in enumerate(["aa", "bb"] * 8)] + [(100, "K.", None), (101, text[:40], None), (102, "12.", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {*range(16), 100, 101}
+
+
 def test_toxicity_of_held_out_rows(spark, small):
     docs, labels, rows, truth = small
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
