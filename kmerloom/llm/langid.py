@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc_fold, slices, utf8
 
-#: The sample that is learned from: whole labelled texts of at most so many bytes, in order of a
-#: hash, until a language has so many bytes.
-SAMPLE_DOCS = 64
+#: The sample that is learned from: labelled texts in order of a hash, of a longer one a slice of
+#: about so many bytes at a place by its hash, until a language has so many bytes.
 SAMPLE_TEXT_BYTES = 4000
 SAMPLE_BYTES = 24_000
 #: Symbols that are parsed side by side; a longer text is parsed in pieces of so many.
@@ -133,15 +132,30 @@ class CrossParser:
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> CrossParser:
     """A parser of the labelled rows outside the held-out fold; the sample's bound is SAMPLE_BYTES a language."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & (F.octet_length("text") <= SAMPLE_TEXT_BYTES) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = usable.select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("_h")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_DOCS)
-    rows = usable.join(F.broadcast(chosen.select("lang", "doc_id", "_h").distinct()), ["lang", "doc_id"]).select("lang", "_h", "text").orderBy("lang", "_h", "text").collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1).alias("_h"))
+    # half of the texts have level 0, a quarter 1, ...: the levels from the top down that fill the budget
+    level = F.floor(63 - F.log2(F.col("_h").cast("double") + 1)).cast("int")
+    taken = F.least(F.octet_length("text"), F.lit(SAMPLE_TEXT_BYTES)).cast("long")
+    least: dict[str, int] = {}
+    filled: dict[str, int] = {}
+    for r in sorted(usable.groupBy("lang", level.alias("level")).agg(F.sum(taken).alias("size")).collect(), key=lambda r: -r.level):
+        if filled.get(r.lang, 0) < SAMPLE_BYTES:
+            least[r.lang] = r.level
+            filled[r.lang] = filled.get(r.lang, 0) + r.size
+    if not least:
+        return CrossParser({})
+    levels = docs.sparkSession.createDataFrame(list(least.items()), "lang string, _least int")
+    length = F.length("text")
+    shown = F.floor(length * SAMPLE_TEXT_BYTES / F.octet_length("text")).cast("int")
+    piece = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), (F.col("_h") % (length - shown + 1) + 1).cast("int"), shown))
+    rows = usable.join(F.broadcast(levels), "lang").where(level >= F.col("_least")).select("lang", "_h", piece.alias("text")).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
     sizes: dict[str, int] = {}
-    for r in rows:
-        raw = np.frombuffer(r.text.encode(), np.uint8)
-        if sizes.setdefault(r.lang, 0) + len(raw) <= SAMPLE_BYTES:
+    for r in sorted(rows, key=lambda r: (r.lang, r._h, r.text)):
+        left = SAMPLE_BYTES - sizes.setdefault(r.lang, 0)
+        raw = np.frombuffer(r.text.encode()[:left].decode(errors="ignore").encode(), np.uint8)
+        if len(raw):
             samples.setdefault(r.lang, []).append(symbols(raw, np.array([0, len(raw)]))[0])
             sizes[r.lang] += len(raw)
     return CrossParser(samples)

@@ -110,6 +110,16 @@ def test_ties_between_languages_are_accepted(spark):
     assert {r.doc_id for r in langid.accepted(docs).collect()} == {*range(16), 100, 101}
 
 
+def test_languages_of_long_and_of_tiny_texts_are_learned(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, "aa", 100), "aa") for i in range(40)] + [(100 + i, prose(rng, "bb", 3000), "bb") for i in range(8)] + [(200 + i, prose(rng, "cc", 3), "cc") for i in range(2000)]
+    parser = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert parser.languages == ["aa", "bb", "cc"]
+    # an automaton has at least as many states as its sample has symbols
+    ends = [*(parser.roots[1:, 0] // parser.width), len(parser.table) // parser.width]
+    assert all(int(b - a) > 15_000 for a, b in zip(parser.roots[:, 0] // parser.width, ends))
+
+
 def test_toxicity_of_held_out_rows(spark, small):
     docs, labels, rows, truth = small
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
