@@ -1,12 +1,17 @@
 """Registered queries against DuckDB on the smallest tables, where these are at hand."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
 from kmerloom import registry
 
+from . import conftest
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
@@ -35,3 +40,12 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["line"]
+
+
+def test_queries_are_listed_without_the_llm_folders(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(conftest.ROOT, copy, ignore=lambda folder, names: [n for n in names if n in ("llm", ".git", "__pycache__", ".pytest_cache")])
+    code = "import __spark_entry__ as e; q = e.queries(); assert e.oracle_sql().keys() <= q.keys(); print(len(q), 'pipeline' in q, any(n.startswith('op') for n in q))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.split() == [str(len(registry.queries())), "False", "False"]
