@@ -6,6 +6,7 @@ batch at once, so no Python string is made for a document unless an operator nee
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: A word, as every operator here counts it (a run of bytes that are no ASCII white space).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that an operator works on at a time.
+BATCH_ROWS = 2048
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes between words when only letters make words; all bytes over 127 count as letters.
@@ -87,6 +91,30 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give the memory that Arrow and the C library hold for reuse back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def frugal(run, rows: int | None = BATCH_ROWS):
+    """``run`` for mapInArrow, in batches of so many rows at most; a worker that is done gives its memory back."""
+
+    def slim(batches):
+        for batch in batches:
+            for at in range(0, len(batch), rows):
+                yield batch.slice(at, rows)
+
+    def inner(batches):
+        yield from run(slim(batches) if rows else batches)
+        release()
+
+    return inner
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and the n + 1 offsets of the rows in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

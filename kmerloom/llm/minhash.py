@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, rows_of, slices, utf8, word_hashes, word_spans, written
+from .common import discard, fresh_name, frugal, mix64, rows_of, slices, utf8, word_hashes, word_spans, written
 from .components import components
 
 WORDS = 5
@@ -26,6 +26,12 @@ MISS_IN_BUCKET = 1e-5
 BATCH = 40
 #: Longs that hold one bit of each minimum in the rows of buckets.
 PLANE = -(-BANDS * ROWS // 64)
+#: Members of a bucket that are compared with its pivots in one part.
+PART = 256
+#: Comparisons of sketches for each row of buckets that the last wave may take.
+EFFORT = 100
+#: Least number that stands for a text in place of an id.
+HANDLES = 1 << 61
 #: Bits that hold the parity of the number of shingles hashed to each of them.
 PARITY = 1024
 
@@ -101,7 +107,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 minima, odd = signatures(names, counts), parities(names, counts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), _long(h1), _long(h2), pa.array([m.tobytes() for m in minima], pa.binary()), pa.array([o.tobytes() for o in odd], pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "signature", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary, parity binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, h1 long, h2 long, signature binary, parity binary")
 
 
 def _minima(column: pa.Array) -> np.ndarray:
@@ -120,7 +126,7 @@ def band_keys(described: DataFrame) -> DataFrame:
                 keys = mix64(keys ^ (wide[:, :, k] * _BAND[:, k]))
             yield pa.RecordBatch.from_arrays([_long(keys.ravel()), batch.column("id").take(pa.array(rows_of(np.full(len(wide), BANDS))))], names=["key", "id"])
 
-    return described.select("id", "signature").mapInArrow(run, "key long, id long")
+    return described.select("id", "signature").mapInArrow(frugal(run), "key long, id long")
 
 
 def one_bits(minima: np.ndarray) -> np.ndarray:
@@ -134,7 +140,7 @@ def one_bits(minima: np.ndarray) -> np.ndarray:
 
 
 def sketches(described: DataFrame) -> DataFrame:
-    """``id, n, s0, ..., o0, ...``: one bit of all minima, and the parity bits."""
+    """``id, n, fame, s0, ..., o0, ...``: one bit of all minima, and the parity bits."""
     names = [*[f"s{i}" for i in range(PLANE)], *[f"o{i}" for i in range(PARITY // 64)]]
 
     def run(batches):
@@ -144,9 +150,9 @@ def sketches(described: DataFrame) -> DataFrame:
             bits[:, : BANDS * ROWS] = one_bits(minima)
             odd, _ = utf8(batch.column("parity"))
             both = np.concatenate([np.packbits(bits, axis=1).view(np.uint64), odd.reshape(len(minima), -1).view(np.uint64)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *[_long(both[:, i]) for i in range(len(names))]], names=["id", "n", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("fame"), *[_long(both[:, i]) for i in range(len(names))]], names=["id", "n", "fame", *names])
 
-    return described.select("id", "n", "signature", "parity").mapInArrow(run, "id long, n long, " + ", ".join(f"{n} long" for n in names))
+    return described.select("id", "n", "fame", "signature", "parity").mapInArrow(frugal(run), "id long, n long, fame double, " + ", ".join(f"{n} long" for n in names))
 
 
 @lru_cache(maxsize=64)
@@ -178,53 +184,48 @@ def plausible(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return alive
 
 
-def prune(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that the sequential test leaves."""
-
-    def run(batches):
-        for batch in batches:
-            alive = pa.array(plausible(_minima(batch.column("sa")), _minima(batch.column("sb"))))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(alive), batch.column("b").take(alive)], names=["a", "b"])
-
-    left = store.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    right = store.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array([zstandard.decompress(z) for z in column.to_pylist()], pa.large_binary()))
 
 
-def confirm(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the share."""
+def confirmed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``a, b`` of the rows whose full shingle sets reach the share."""
+    names_a, counts_a = shingle_sets(*_texts(batch.column("za")))
+    _, first, back = np.unique(batch.column("b").to_numpy(), return_index=True, return_inverse=True)
+    names_b, counts_b = shingle_sets(*_texts(batch.column("zb").take(pa.array(first))))
+    ea, eb = np.cumsum(counts_a), np.cumsum(counts_b)
+    keep = []
+    for i in range(len(batch)):
+        x, j = names_a[ea[i] - counts_a[i] : ea[i]], back[i]
+        y = names_b[eb[j] - counts_b[j] : eb[j]]
+        if len(x) > len(y):
+            x, y = y, x
+        if not len(x):
+            continue
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        if SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common):
+            keep.append(i)
+    return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+def verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that the sequential test leaves and whose full sets reach the share.
+
+    A pivot of a large group is in many pairs; both sides of the joins are plain exchanges, which
+    adaptive execution splits where they are skewed.
+    """
 
     def run(batches):
         for batch in batches:
-            b_ids = batch.column("b").to_numpy()
-            step = 256
-            for at in range(0, len(b_ids), step):
-                part = batch.slice(at, step)
-                names_a, counts_a = shingle_sets(*_texts(part.column("za")))
-                ids, first, back = np.unique(b_ids[at : at + step], return_index=True, return_inverse=True)
-                names_b, counts_b = shingle_sets(*_texts(part.column("zb").take(pa.array(first))))
-                ea, eb = np.cumsum(counts_a), np.cumsum(counts_b)
-                keep = []
-                for i in range(len(part)):
-                    x, j = names_a[ea[i] - counts_a[i] : ea[i]], back[i]
-                    y = names_b[eb[j] - counts_b[j] : eb[j]]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    if not len(x):
-                        continue
-                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    if SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common):
-                        keep.append(i)
-                take = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], names=["a", "b"])
-
-    left = store.select(F.col("id").alias("a"), F.col("z").alias("za"))
-    right = store.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+            alive = plausible(_minima(batch.column("sa")), _minima(batch.column("sb")))
+            for at in range(0, len(alive), 256):
+                yield confirmed(batch.select(["a", "b", "za", "zb"]).take(pa.array(alive[at : at + 256])))
+
+    side = lambda x: store.select(F.col("id").alias(x), F.col("signature").alias(f"s{x}"), F.col("z").alias(f"z{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "za", "zb")
+    # a skewed join may be split into many small tasks; workers and files need no more than there are partitions
+    parts = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.coalesce(parts).mapInArrow(frugal(run), "a long, b long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -233,66 +234,120 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             z = pa.array([zstandard.compress((t.as_py() or "").encode(), 1) for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), z], names=["id", "z"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL").mapInArrow(run, "id long, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL").mapInArrow(frugal(run), "id long, z binary")
+
 
+def represented(described: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """``described`` with the columns of ``reps`` of its set; rows without shingles or id have nulls.
 
-def links(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    A set with more than ``most`` copies joins by broadcast, so that its copies stay where they
+    are: there are at most rows / most of them.
+    """
+    named = described.withColumn("h1", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("h1")))
+    hot = reps.where(F.col("copies") > most).drop("copies")
+    hot = hot.withColumnsRenamed({c: f"hot_{c}" for c in hot.columns})
+    named = named.join(F.broadcast(hot), (F.col("h1") == F.col("hot_h1")) & (F.col("h2") == F.col("hot_h2")), "left")
+    columns = [c for c in reps.columns if c not in ("h1", "h2", "copies")]
+    known = named.where("hot_h1 IS NOT NULL OR h1 IS NULL").select(*described.columns, *[F.col(f"hot_{c}").alias(c) for c in columns])
+    others = named.where("hot_h1 IS NULL AND h1 IS NOT NULL").select(*described.columns).join(reps.where(F.col("copies") <= most).drop("copies"), ["h1", "h2"], "left")
+    return known.unionByName(others.select(*described.columns, *columns))
+
+
+def with_handles(docs: DataFrame, described: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """``docs`` with a number of their own for texts whose doc_id has several, and ``handle, own_id`` of these.
+
+    Numbers are a hash of id and text beyond HANDLES, so that the least of a component is an id.
+    None if no id has several texts with words, which is the rule.
+    """
+    full = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = full.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
+    if several.isEmpty():
+        return None
+    handle = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 3) + F.lit(HANDLES)
+    marked = docs.join(several.withColumn("several", F.lit(True)), "doc_id", "left").select(F.when(F.col("several"), handle).otherwise(F.col("doc_id")).alias("handle"), "doc_id", "text")
+    marked = written(marked, "minhash-handles")
+    return marked.select(F.col("handle").alias("doc_id"), "text"), marked.where("handle <> doc_id").select("handle", F.col("doc_id").alias("own_id")).distinct()
+
+
+def candidates(left: DataFrame, pivots: DataFrame, once: bool) -> DataFrame:
+    """Pairs ``a, b`` of a member and a pivot of one bucket and of different components.
+
+    The first look at a pair is part of the join: parity bits, which never reject a link, and one
+    bit of each minimum. Members of a bucket are dealt out over one part for each PART of them
+    and its pivots go to every part. ``once``: all pairs of pivots are here in both orders.
+    """
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    m = left.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).alias("m")
+    p = pivots.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("p")
+    sizes = F.least("p.n", "m.n") * SHARE[1] >= F.greatest("p.n", "m.n") * SHARE[0]
+    unequal = lambda kind, longs: sum((F.bit_count(F.col(f"p.{kind}{i}").bitwiseXOR(F.col(f"m.{kind}{i}"))) for i in range(longs)), F.lit(0))
+    # at the share, the shingles not in common are at most (b - a) / (b + a) of the sum of both sizes
+    apart = unequal("o", PARITY // 64) * (SHARE[1] + SHARE[0]) <= (F.col("p.n") + F.col("m.n")) * (SHARE[1] - SHARE[0])
+    match = (F.col("p.key") == F.col("m.key")) & (F.col("p.part") == F.col("m.part")) & (F.col("p.component") != F.col("m.component")) & sizes & (unequal("s", PLANE) <= most_unequal()) & apart
+    if once:
+        match = match & ((F.col("m.component") == F.col("m.main")) | (F.col("p.id") < F.col("m.id")))
+    # one member has few pivots; dealt out by member for the join that follows
+    return m.join(p, match).select(F.col("m.id").alias("a"), F.col("p.id").alias("b")).repartition("a").dropDuplicates(["a", "b"])
+
+
+def links(docs: DataFrame, described: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Components over representatives of equal sets (``id, component``), and the representatives.
 
-    Buckets are worked off in waves. A wave takes the most popular members of every bucket (1,
-    then 16, 256, ... of those left) and compares them with all members of other components so
-    far; then they leave the bucket. A bucket is done when its members are of one component or
-    all but one have left, so every pair of a bucket is either compared or already connected,
-    and a group of copies costs about as many comparisons as it has members. The first look at
-    a pair is part of the join that makes it: parity bits, which never reject a link, and one bit
-    of each minimum.
+    First every bucket's most popular member is compared with all others, which joins nearly all
+    of a group of copies in as many comparisons as it has members. Then only buckets whose
+    members are still of several components count, and in each only pairs of different
+    components: its main component need not be compared with itself, so every member outside it
+    is compared with all. Where these would be too many pairs (EFFORT a row), more pivots (16,
+    256, ... from outside the main component) go first. So each pair of a bucket is compared or
+    connected in the end. ``aliases``: see :func:`with_handles`; the texts of one id are linked.
     """
-    classes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "parity")).alias("r"))
-    reps = written(classes.select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature"), F.col("r.parity").alias("parity")), "minhash-reps")
+    rows = described.count()
+    most = max(1000, rows // 1000)
+    classes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "parity")).alias("r"), F.count("*").alias("copies"))
+    reps = written(classes.select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.signature").alias("signature"), F.col("r.parity").alias("parity"), "copies"), "minhash-reps")
     bands = band_keys(reps)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(bands.join(shared, "key").distinct(), "minhash-members")
+    # at most BANDS * rows / most buckets are hot
+    hot = shared.where(F.col("size") > most).select("key", F.col("size").alias("many"))
+    dealt = bands.join(F.broadcast(hot), "key", "left")
+    members = dealt.where("many IS NULL").select("key", "id").join(shared.where(F.col("size") <= most), "key").unionByName(dealt.where("many IS NOT NULL").select("key", "id", F.col("many").alias("size")))
+    members = written(members.distinct(), "minhash-members")
     fame = members.groupBy("id").agg(F.sum(F.log2("size")).alias("fame"))
-    near = written(reps.join(fame, "id").dropDuplicates(["id"]), "minhash-near")
-    store = written(near.select("id", "signature").join(packed_texts(docs), "id").dropDuplicates(["id"]), "minhash-store")
-    left = members.select("key", "id").join(sketches(near).join(near.select("id", "fame"), "id"), "id").withColumn("component", F.col("id"))
-    # one doc_id with several texts stands for all of them
-    found = written(described.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("id").alias("b")), ["h1", "h2"]).groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("b")).where("a <> b").select("a", "b"), "minhash-links")
-    labels, late = None, False
-    tested, pivots, last, all_pairs = None, 1, [], []
-    rank = Window.partitionBy("key").orderBy(F.col("fame").desc(), "id")
+    # repeated rows: one of each id
+    store = reps.drop("h1", "h2", "copies").join(fame, "id").join(packed_texts(docs), "id").dropDuplicates(["id"])
+    store = written(store, "minhash-store")
+    left = written(members.join(sketches(store), "id").withColumn("component", F.col("id")).withColumn("main", F.lit(None).cast("long")), "minhash-left")
+    total = left.count()
+    found, pivots, last = None, 1, False
+    if aliases is not None:
+        own = described.join(aliases, F.col("doc_id") == F.col("handle")).drop("handle", "signature", "parity")
+        found = written(represented(own, reps.select("h1", "h2", "id", "copies"), most).select(F.col("id").alias("a"), F.col("own_id").alias("b")).distinct(), "minhash-links")
+    tables = [members, store, left]
     while True:
-        mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        before, left = last, written(left.join(mixed, "key"), "minhash-left")
-        discard(*before)
-        last = [left]
-        if left.isEmpty():
+        if last:
+            tops = left.where("component <> main")
+        else:
+            order = [F.col("fame").desc(), "id"] if pivots == 1 else [F.xxhash64("id", F.lit(pivots))]
+            outside = left if pivots == 1 else left.where("component <> main")
+            tops = outside.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= pivots).drop("place")
+        fresh = written(verify(candidates(left, tops, last), store), "minhash-links")
+        found = fresh if found is None else found.unionByName(fresh)
+        labels = components(found)
+        tables.append(fresh)
+        if last:
+            break
+        labelled = left.drop("component", "main").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = written(labelled, "minhash-left")
+        mixed = labelled.groupBy("key").agg(F.max_by("component", "fame").alias("main"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "main")
+        left = written(labelled.join(mixed, "key"), "minhash-left")
+        tables += [labelled, left]
+        effort = left.where("component <> main").agg(F.sum("size").alias("pairs")).first().pairs
+        if effort is None:
             break
-        top = left.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= pivots).drop("place")
-        p, m = top.alias("p"), left.alias("m")
-        ahead = (F.col("p.fame") > F.col("m.fame")) | ((F.col("p.fame") == F.col("m.fame")) & (F.col("p.id") < F.col("m.id")))
-        sizes = F.least("p.n", "m.n") * SHARE[1] >= F.greatest("p.n", "m.n") * SHARE[0]
-        unequal = lambda kind, longs: sum((F.bit_count(F.col(f"p.{kind}{i}").bitwiseXOR(F.col(f"m.{kind}{i}"))) for i in range(longs)), F.lit(0))
-        # at the share, the shingles not in common are at most (b - a) / (b + a) of the sum of both sizes
-        apart = unequal("o", PARITY // 64) * (SHARE[1] + SHARE[0]) <= (F.col("p.n") + F.col("m.n")) * (SHARE[1] - SHARE[0])
-        match = (F.col("p.key") == F.col("m.key")) & (F.col("p.component") != F.col("m.component")) & ahead & sizes & apart & (unequal("s", PLANE) <= most_unequal())
-        pairs = m.join(p, match).select(F.col("m.id").alias("a"), F.col("p.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "minhash-pairs")
-        all_pairs.append(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        fresh = written(confirm(prune(pairs, store), store), "minhash-links")
-        left = left.join(top.select("key", "id"), ["key", "id"], "left_anti")
-        if not fresh.isEmpty():
-            found, late = found.union(fresh), pivots > 1
-        if pivots == 1 and not late and labels is None and not found.isEmpty():
-            # the first wave joins nearly all; later links are few and joined at the end
-            labels = components(found)
-            left = left.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         pivots *= 16
-    labels = components(found) if labels is None or late else labels
-    discard(members, near, store, *last, *all_pairs)
+        last = effort <= EFFORT * total or pivots * pivots > total
+        tables.append(labels)
+    discard(*tables)
     return labels, reps
 
 
@@ -304,23 +359,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows with equal ids count as one document. A row without an id is linked with nothing,
     has a null component and is kept. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    described = written(describe(docs), "minhash-signatures")
-    labels, reps = links(docs, described)
-    rows = described.select("doc_id", "n_shingles", "h1", "h2").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"], "left")
-    rows = rows.withColumn("rep", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-    rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    described, aliases = written(describe(docs), "minhash-signatures"), None
+    if (handled := with_handles(docs, described)) is not None:
+        docs, aliases = handled
+        discard(described)
+        described = written(describe(docs), "minhash-signatures")
+    labels, reps = links(docs, described, aliases)
+    named = reps.select("h1", "h2", "id", "copies").join(labels, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"), "copies")
+    rows = represented(described.select("doc_id", "n_shingles", "h1", "h2"), written(named, "minhash-reps"), max(1000, described.count() // 1000))
+    if aliases is not None:
+        rows = rows.join(aliases, F.col("doc_id") == F.col("handle"), "left").withColumn("doc_id", F.coalesce("own_id", "doc_id"))
+    component = F.coalesce("component", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, the one with the smallest id; same columns.
+    """The rows of one document of each group of near duplicates, that with the smallest id.
 
-    Of rows with equal ids, which count as one document, one stays. Rows without an id stay.
+    Same columns. Rows with equal ids are one document: each of its texts stays, once, with the
+    values of the row whose hash is least. Rows without an id all stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept").select("doc_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text, place = fresh_name(docs, "text"), fresh_name(docs, "place")
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn(text, F.xxhash64("text"))
+    once = Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    named = named.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return named.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
 
 
 NEAR_SQL = r"""
