@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, rows_of, slices, utf8, written
+from .common import frugal, mix64, rows_of, slices, utf8, written
 
 LENGTH = 400
 #: Bytes of the names that choose anchors, a power of two.
@@ -147,7 +147,7 @@ def coarse_anchors(docs: DataFrame) -> DataFrame:
                 take = pa.array(rows + first)
                 yield pa.RecordBatch.from_arrays([_longs(grams[places]), k1.take(take), k2.take(take), _longs(lo - at[rows] + base), _longs(hi - lo + 1)], names=["name", "k1", "k2", "lo", "n"])
 
-    return docs.select("text", *_keys()).mapInArrow(run, "name long, k1 long, k2 long, lo long, n long")
+    return docs.select("text", *_keys()).mapInArrow(frugal(run), "name long, k1 long, k2 long, lo long, n long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(z, pa.binary()), *[batch.column(n) for n in names]], names=["k1", "k2", "z", *names])
 
     schema = T.StructType([*[T.StructField(k, T.LongType()) for k in ("k1", "k2")], T.StructField("z", T.BinaryType()), *others])
-    return docs.select(*_keys(), "text", *names).mapInArrow(run, schema)
+    return docs.select(*_keys(), "text", *names).mapInArrow(frugal(run), schema)
 
 
 def by_text(ranges: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def dense_anchors(joined: DataFrame) -> DataFrame:
                 take = pa.array(at_row + first)
                 yield pa.RecordBatch.from_arrays([_longs(short), _longs(long), k1.take(take), k2.take(take), _longs((places - at[at_row] + base) << 16 | (places - lo) << 8 | (places - hi))], names=["short", "long", "k1", "k2", "code"])
 
-    return joined.mapInArrow(run, "short long, long long, k1 long, k2 long, code long")
+    return joined.mapInArrow(frugal(run), "short long, long long, k1 long, k2 long, code long")
 
 
 def window_names(joined: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def window_names(joined: DataFrame) -> DataFrame:
                 name = mix64(long_names(grams, p, p + LENGTH) + (places[each] - p).astype(np.uint64) * _STEP[22])
                 yield pa.RecordBatch.from_arrays([_longs(short[each]), _longs(name), k1.take(take), k2.take(take), _longs(p - at[own[each]] + base), pa.array((1 + several[each]).astype(np.int32))], names=["short", "name", "k1", "k2", "p", "weight"])
 
-    return joined.mapInArrow(run, "short long, name long, k1 long, k2 long, p long, weight int")
+    return joined.mapInArrow(frugal(run), "short long, name long, k1 long, k2 long, p long, weight int")
 
 
 def once_ranges(docs: DataFrame, store: DataFrame) -> DataFrame:
@@ -262,7 +262,8 @@ def once_ranges(docs: DataFrame, store: DataFrame) -> DataFrame:
     pairs = dense_anchors(store.join(by_text(first), ["k1", "k2"], "left"))
     ranked = pairs.groupBy("short", "long").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "code")).alias("m"))
     ranked = written(ranked.select("short", "c", "m.k1", "m.k2", "m.code"), "ranked")
-    classes = ranked.groupBy("short").agg(F.count("*").alias("longs"), F.sum("c").alias("members"), F.min(F.struct("k1", "k2", "code")).alias("m"))
+    # written, so that the join with a short name that many anchors share can be split
+    classes = written(ranked.groupBy("short").agg(F.count("*").alias("longs"), F.sum("c").alias("members"), F.min(F.struct("k1", "k2", "code")).alias("m")).where("members = 1 OR longs > 1"), "classes")
     code = F.col("m.code")
     second = classes.where("members = 1").select("m.k1", "m.k2", _range_code(F.shiftright(code, 16) - F.shiftright(code, 8).bitwiseAND(255), F.shiftright(code, 8).bitwiseAND(255) - code.bitwiseAND(255) + 1).alias("code"))
     edges = ranked.join(classes.where("longs > 1").select("short"), "short").select("k1", "k2", (F.shiftleft("code", 1) + (F.col("c") > 1).cast("long")).alias("code"))
@@ -272,11 +273,29 @@ def once_ranges(docs: DataFrame, store: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of texts with very many copies, and all the others.
+
+    Such a text is repeated throughout, so its rows need no names and no join. Texts with more
+    copies than a thousandth of the rows are at most a thousand, which bounds what is broadcast.
+    """
+    most = max(1000, docs.count() // 1000)
+    keyed = docs.withColumns(dict(zip(("k1", "k2"), _keys(), strict=True)))
+    hot = keyed.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").agg(F.count("*").alias("c")).where(F.col("c") > most).select(F.col("k1").alias("hot1"), F.col("k2").alias("hot2"))
+    marked = keyed.join(F.broadcast(hot), (F.col("k1") == F.col("hot1")) & (F.col("k2") == F.col("hot2")), "left")
+    return marked.where("hot1 IS NOT NULL").select(*docs.columns), marked.where("hot1 IS NULL").select(*docs.columns)
+
+
 def _cleaned(docs: DataFrame, schema: T.StructType, make) -> DataFrame:
     """``make(batch, row, text, removed flags or None)`` values for each row, after the other columns."""
     docs = docs.select("*")
-    store = packed(docs)
-    joined = store.join(by_text(once_ranges(docs, store)), ["k1", "k2"], "left")
+    hot, cold = apart(docs)
+    # two copies of each such text make its strings repeated in the texts of others
+    twice = hot.groupBy(*_keys()).agg(F.first("text").alias("text")).select("text", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).select("text")
+    texts = cold.select("text").unionByName(twice)
+    ranges = by_text(once_ranges(texts, packed(texts)))
+    joined = packed(cold).join(ranges, ["k1", "k2"], "left")
+    joined = joined.unionByName(packed(hot).withColumn("codes", F.lit(None).cast(joined.schema["codes"].dataType)))
     others = [n for n in docs.columns if n != "text"]
 
     def run(batches):
@@ -295,7 +314,7 @@ def _cleaned(docs: DataFrame, schema: T.StructType, make) -> DataFrame:
             made = [pa.array([x[k] for x in out], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for k, f in enumerate(schema.fields)]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], *made], names=[*others, *schema.names])
 
-    return joined.mapInArrow(run, T.StructType([*[docs.schema[n] for n in others], *schema.fields]))
+    return joined.mapInArrow(frugal(run), T.StructType([*[docs.schema[n] for n in others], *schema.fields]))
 
 
 def _digest(text: np.ndarray, gone: np.ndarray | None) -> tuple[int, int, int, str]:
@@ -319,12 +338,12 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text; a character that is cut in part goes whole.
 
-    The other columns stay as they are; null text becomes empty.
+    The other columns stay as they are, whatever their names; null text becomes empty.
     """
-    clash = {c.lower() for c in docs.columns} & {"k1", "k2", "z", "codes"}
-    renamed = {c: f"kept_{c}_{i}" for i, c in enumerate(docs.columns) if c.lower() in clash}
-    inner = docs.withColumnsRenamed(renamed | ({text_col: "text"} if text_col != "text" else {}))
+    places = [n for n, c in enumerate(docs.columns) if c == text_col]
+    if len(places) != 1:
+        raise ValueError(f"one column {text_col} is needed, there are {len(places)}")
+    inner = docs.toDF(*["text" if n == places[0] else f"c{n}" for n in range(len(docs.columns))])
     make = lambda text, gone: ((text if gone is None else text[~gone]).tobytes().decode("utf-8", "ignore"),)
     out = _cleaned(inner, T.StructType([T.StructField("text", T.StringType())]), make)
-    out = out.withColumnsRenamed({v: k for k, v in renamed.items()} | ({"text": text_col} if text_col != "text" else {}))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*inner.columns).toDF(*docs.columns)

@@ -8,6 +8,8 @@ import re
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from kmerloom.llm import components, minhash, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,6 +100,47 @@ def test_near_duplicates_of_nothing_and_of_null_ids(spark):
     assert sorted((r.doc_id for r in minhash.without_near_duplicates(rows).collect()), key=str) == [4, None]
 
 
+def test_one_id_with_several_texts(spark):
+    """They are one document: linked with the links of each, and each text stays once."""
+    t = [f"{x} " + " ".join(f"{x}{i}" for i in range(30)) for x in "abcd"]
+    rows = [(1, t[0], "s"), (5, t[1], "s"), (5, t[2], "s"), (5, t[3], "s"), (5, t[1], "r"), (7, t[2] + " more", "s"), (9, t[3], "s"), (11, t[0] + " x", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `s.t` string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df.drop("s.t")).collect()}
+    assert got == {1: 1, 5: 5, 7: 5, 9: 5, 11: 1}
+    for _ in range(2):
+        kept = sorted((r.doc_id, r.text) for r in minhash.without_near_duplicates(df).collect())
+        assert kept == sorted([(1, t[0]), (5, t[1]), (5, t[2]), (5, t[3])])
+
+
+@pytest.mark.parametrize("effort", [0, 1, 100])
+def test_waves_do_not_change_the_result(spark, monkeypatch, effort):
+    """A passage that all texts share fills buckets with unlike members."""
+    monkeypatch.setattr(minhash, "EFFORT", effort)
+    monkeypatch.setattr(minhash, "PART", 8)
+    monkeypatch.setattr(components, "TASK_LINKS", 7)
+    rng = random.Random(effort)
+    shared = " ".join(f"p{i}" for i in range(24))
+    texts = []
+    for _ in range(40):
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+        texts += [f"{shared} {own}", f"{shared} {own} t{rng.randrange(9)}"][: rng.randint(1, 2)]
+    texts += family(rng, 30, 60)
+    rows = list(enumerate(texts))
+    assert near(spark, rows) == brute_near(rows)
+
+
+def test_the_largest_task_of_a_hot_group(spark):
+    """Copies of one text and near copies of one text do not meet in one part of the joins."""
+    rng = random.Random(2)
+    left = spark.createDataFrame([(1, i, 4096, 10, 1.0, i, 0) for i in range(4096)], "key long, id long, size long, n long, fame double, component long, main long")
+    left = left.withColumns({f"s{i}": F.lit(0).cast("long") for i in range(minhash.PLANE)} | {f"o{i}": F.lit(0).cast("long") for i in range(minhash.PARITY // 64)})
+    pivots = left.where("id = 0")
+    pairs = minhash.candidates(left, pivots, False)
+    assert pairs.count() == 4095
+    parts = left.select(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / minhash.PART).cast("int")).alias("part")).groupBy("part").count().agg(F.max("count")).first()[0]
+    assert parts < 2 * minhash.PART and rng
+
+
 def test_posterior_bound_falls_with_the_miss_probability():
     assert minhash.least_matches(40) < 30 and minhash.least_matches(200) < 150
     assert minhash.least_matches(200, miss=1e-2) > minhash.least_matches(200, miss=1e-8)
@@ -111,7 +154,9 @@ def test_parity_bits_never_exceed_the_difference():
     assert 0 < np.unpackbits(pa_ ^ pb).sum() <= 190
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("links_a_task", [3, 1_000_000])
+def test_components_of_a_long_chain(spark, monkeypatch, links_a_task):
+    monkeypatch.setattr(components, "TASK_LINKS", links_a_task)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3)], "a long, b long")
     got = {r.id: r.component for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -172,6 +217,39 @@ def test_cutting_keeps_columns_and_whole_characters(spark):
     assert suffix_dedup.without_repeats(df.limit(0)).collect() == []
 
 
+def test_names_of_columns_do_not_matter_to_cutting(spark):
+    passage = "".join(random.Random(8).choice("abcdefgh ") for _ in range(420))
+    rows = [(1, passage + "x", 3, 4), (2, "y" + passage, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, codes int")
+    got = suffix_dedup.without_repeats(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "x", 3, 4), (2, "y", 5, 6)]
+
+
+def test_a_text_with_very_many_copies(spark, monkeypatch):
+    """Its rows are kept apart from the joins; what they share with other texts is still found."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcde fgh") for _ in range(900))
+    texts = [base] * 1100 + [base[100:700] + "tail", "x" * 399, "lead" + base[200:599], base[300:]] + ["short"] * 1100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts])
+    assert suffix_dedup.apart(df)[0].count() == 1100
+
+
+def test_a_very_long_text_end_to_end(spark, monkeypatch):
+    """A text of several units that overlap, against brute force."""
+    monkeypatch.setattr(suffix_dedup, "LONGEST_UNIT", 1500)
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcde fgh") for _ in range(7000))
+    texts = [base, base[1200:1900], base[3100:3520] + "z", base[2900:3299], None]
+    hold = [(t or "").encode() for t in texts]
+    found = list(suffix_dedup.units(np.frombuffer(hold[0], np.uint8), np.array([0, 7000])))
+    assert len(found) == 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeat_report(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(hold)
+
+
 def test_long_texts_are_cut_into_units_that_overlap(monkeypatch):
     """Names of anchors do not depend on how a text is cut."""
     data = np.random.default_rng(4).integers(97, 101, 5000, dtype=np.uint8)
