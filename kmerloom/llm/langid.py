@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, slices, utf8
+from .common import BATCH_ROWS, crc_fold, frugal, release, slices, utf8
 
 #: The sample that is learned from: labelled texts in order of a hash, of a longer one a slice of
 #: about so many bytes at a place by its hash, until a language has so many bytes.
 SAMPLE_TEXT_BYTES = 4000
 SAMPLE_BYTES = 24_000
-#: Symbols that are parsed side by side; a longer text is parsed in pieces of so many.
+#: Symbols of the pieces of texts that are parsed side by side.
 PIECE = 256
-UNIT_BYTES = 1 << 20
+#: Bytes of texts that are parsed at a time, over all languages.
+UNIT_BYTES = 1 << 21
 
 _CLASS = np.zeros(256, np.int64)
 for _i in range(26):
@@ -103,68 +106,109 @@ class CrossParser:
         self.first = np.where(first == 0, self.roots, first).astype(np.int64)
 
     def phrases(self, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Phrases that each language needs for each row."""
+        """Phrases that each language needs for each row, each row parsed greedily from its start to its end.
+
+        Pieces of PIECE symbols are parsed side by side as if a phrase began with each. Where the
+        piece before ends amid a phrase, that phrase is carried on into the piece until both
+        parses are in the same state, from where they agree; a piece that they leave in different
+        states hands its own end on to the next.
+        """
         coded, n = self.code[classes], np.diff(offsets)
         pieces = -(-n // PIECE)
         row = np.repeat(np.arange(len(n)), pieces)
-        start = offsets[:-1][row] + (np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]) * PIECE
+        nth = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+        start = offsets[:-1][row] + nth * PIECE
         size = np.minimum(PIECE, offsets[1:][row] - start)
         order = np.argsort(-size, kind="stable")
-        row, start, size = row[order], start[order], size[order]
-        counts = np.zeros((len(self.languages), len(row)), np.int32)
+        states = np.zeros((len(self.languages), len(coded)), np.int32)
+        begins = np.zeros((len(self.languages), len(coded)), bool)
         state = np.repeat(self.roots, len(row), axis=1)
-        running = np.searchsorted(-size, -np.arange(PIECE), side="left")
+        running = np.searchsorted(-size[order], -np.arange(PIECE), side="left")
         for i in range(PIECE):
             k = running[i]
             if not k:
                 break
-            c = coded[start[:k] + i]
+            at = start[order[:k]] + i
+            c = coded[at]
             now = state[:, :k]
             to = self.table.take(now + c, mode="clip")
             failed = to == 0
-            counts[:, :k] += failed | (now == self.roots)
-            state[:, :k] = np.where(failed, self.first[:, c], to)
-        out = np.zeros((len(self.languages), len(n)), np.int64)
-        for g in range(len(self.languages)):
-            out[g] = np.bincount(row, counts[g], len(n)).astype(np.int64)
-        return out
+            begins[:, at] = failed | (now == self.roots)
+            state[:, :k] = now = np.where(failed, self.first[:, c], to)
+            states[:, at] = now
+        language, piece = np.nonzero(np.broadcast_to(nth > 0, (len(self.languages), len(row))))
+        while len(piece):
+            language, piece = self._carry_on(coded, start, size, states, begins, language, piece)
+            more = (piece + 1 < len(row)) & (nth[np.minimum(piece + 1, len(row) - 1)] > 0)
+            language, piece = language[more], piece[more] + 1
+        ends = np.concatenate([np.zeros((len(self.languages), 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
+        return ends[:, offsets[1:]] - ends[:, offsets[:-1]]
+
+    def _carry_on(self, coded, start, size, states, begins, language, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Parse the pieces from the states in which those before them end; returns those whose own end has changed."""
+        now = states[language, start[piece] - 1].astype(np.int64)
+        changed = []
+        for i in range(PIECE):
+            over = size[piece] <= i
+            if over.any():
+                changed.append((language[over], piece[over]))
+                language, piece, now = language[~over], piece[~over], now[~over]
+            if not len(piece):
+                break
+            at = start[piece] + i
+            c = coded[at]
+            to = self.table.take(now + c, mode="clip")
+            failed = to == 0
+            begins[language, at] = failed | (now == self.roots[language, 0])
+            now = np.where(failed, self.first[language, c], to)
+            apart = states[language, at] != now
+            states[language, at] = now
+            language, piece, now = language[apart], piece[apart], now[apart]
+        changed.append((language, piece))
+        return tuple(np.concatenate([x[k] for x in changed]) for k in (0, 1))
 
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> CrossParser:
-    """A parser of the labelled rows outside the held-out fold; the sample's bound is SAMPLE_BYTES a language."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & F.col("text").rlike(r"\p{L}"))
-    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1).alias("_h"))
+    """A parser of the labelled rows outside the held-out fold.
+
+    The sample's bound is SAMPLE_BYTES a language, whatever the number of rows with one id: of
+    equal slices only one is taken, and levels of a hash choose which rows are collected.
+    """
+    usable = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text"), 1).alias("h"))
     # half of the texts have level 0, a quarter 1, ...: the levels from the top down that fill the budget
-    level = F.floor(63 - F.log2(F.col("_h").cast("double") + 1)).cast("int")
+    level = F.floor(63 - F.log2(F.col("h").cast("double") + 1)).cast("int")
     taken = F.least(F.octet_length("text"), F.lit(SAMPLE_TEXT_BYTES)).cast("long")
+    # rows with one id and text have one hash, so that counting a hash once counts the text once
+    sizes = usable.groupBy("lang", "h").agg(F.max(taken).alias("size")).groupBy("lang", level.alias("level")).agg(F.sum("size").alias("size"))
     least: dict[str, int] = {}
     filled: dict[str, int] = {}
-    for r in sorted(usable.groupBy("lang", level.alias("level")).agg(F.sum(taken).alias("size")).collect(), key=lambda r: -r.level):
+    for r in sorted(sizes.collect(), key=lambda r: -r.level):
         if filled.get(r.lang, 0) < SAMPLE_BYTES:
             least[r.lang] = r.level
             filled[r.lang] = filled.get(r.lang, 0) + r.size
     if not least:
         return CrossParser({})
-    levels = docs.sparkSession.createDataFrame(list(least.items()), "lang string, _least int")
+    levels = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
     length = F.length("text")
     shown = F.floor(length * SAMPLE_TEXT_BYTES / F.octet_length("text")).cast("int")
-    piece = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), (F.col("_h") % (length - shown + 1) + 1).cast("int"), shown))
-    rows = usable.join(F.broadcast(levels), "lang").where(level >= F.col("_least")).select("lang", "_h", piece.alias("text")).distinct().collect()
+    piece = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), (F.col("h") % (length - shown + 1) + 1).cast("int"), shown))
+    rows = usable.join(F.broadcast(levels), "lang").where(level >= F.col("least")).select("lang", "h", piece.alias("text")).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
-    sizes: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r._h, r.text)):
-        left = SAMPLE_BYTES - sizes.setdefault(r.lang, 0)
+    sizes_of: dict[str, int] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.h, r.text)):
+        left = SAMPLE_BYTES - sizes_of.setdefault(r.lang, 0)
         raw = np.frombuffer(r.text.encode()[:left].decode(errors="ignore").encode(), np.uint8)
         if len(raw):
             samples.setdefault(r.lang, []).append(symbols(raw, np.array([0, len(raw)]))[0])
-            sizes[r.lang] += len(raw)
+            sizes_of[r.lang] += len(raw)
     return CrossParser(samples)
 
 
 def judge(parser: CrossParser, column: pa.Array):
     """(first row, row after the last, names, scores) for runs of rows of a text column."""
     data, offsets = utf8(column)
-    for a, b in slices(offsets, UNIT_BYTES):
+    for a, b in slices(offsets, UNIT_BYTES // max(1, len(parser.languages))):
         names, scores = [], np.zeros(b - a)
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         classes, where = symbols(part, at)
@@ -200,28 +244,32 @@ def identify(docs: DataFrame, parser: CrossParser, folds: int = 4, held_out: int
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
 
     fold = (crc_fold(F.col("doc_id"), folds) == held_out).alias("held_out")
-    return docs.select("doc_id", fold, "text").mapInArrow(run, schema)
+    return docs.select("doc_id", fold, "text").mapInArrow(frugal(run), schema)
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` for which :func:`identify` names a language, unchanged.
 
     Rejected: ``und`` (no letter, null). A tie between learned languages is no reason to reject:
     short texts need few phrases in any of them. Where nothing can be learned (no labelled row),
-    every text with a letter is accepted.
+    every text with a letter is accepted. Only texts go to Python and only names come back.
     """
+    text = F.col(f"`{text_col}`")
     parser = learn(docs)
     if not parser.languages:
-        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        return docs.where(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
     shipped = docs.sparkSession.sparkContext.broadcast(parser)
 
-    def run(batches):
-        for batch in batches:
-            for a, b, names, _ in judge(shipped.value, batch.column("text")):
-                kept = np.array([n != "und" for n in names], bool)
-                yield batch.slice(a, b - a).filter(pa.array(kept))
+    @F.arrow_udf("string")
+    def name(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            found = []
+            for at in range(0, len(column), BATCH_ROWS):
+                found += [n for *_, names, _ in judge(shipped.value, column.slice(at, BATCH_ROWS)) for n in names]
+            yield pa.array(found, pa.string())
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(name(text) != "und")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

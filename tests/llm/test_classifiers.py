@@ -59,6 +59,8 @@ def test_cross_parsing_equals_a_greedy_parse():
     samples = {x: prose(rng, x, 80) for x in SYLLABLES}
     parser = langid.CrossParser({x: [to(t)] for x, t in samples.items()})
     queries = [prose(rng, x, 12) for x in SYLLABLES] + ["zzz", "", "ka"]
+    # longer than a piece: from a sample, so that phrases pass its ends, of one letter, and periodic
+    queries += [s[5:] for s in samples.values()] + [prose(rng, x, 300) for x in SYLLABLES] + ["q" * 700, "k" * 700, samples["aa"][:40] * 30, samples["aa"][:300] * 4]
     raw = [q.encode() for q in queries]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     classes, where = langid.symbols(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -67,8 +69,7 @@ def test_cross_parsing_equals_a_greedy_parse():
     for g, x in enumerate(parser.languages):
         sample = as_text([*to(samples[x]), 0])
         for i in range(len(queries)):
-            piece = as_text(classes[where[i] : where[i + 1]])
-            assert got[g, i] == sum(greedy_phrases(piece[k : k + langid.PIECE], sample) for k in range(0, len(piece), langid.PIECE))
+            assert got[g, i] == greedy_phrases(as_text(classes[where[i] : where[i + 1]]), sample)
 
 
 def test_languages(spark, small):
@@ -87,6 +88,14 @@ def test_languages(spark, small):
     assert langid.language_report(docs.limit(0)).collect() == []
 
 
+def test_the_stage_keeps_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "na ka ta", "aa", 5, 6, 7)] * 3 + [(2, "12", "aa", 1, 2, 3), (None, "so lo", None, 1, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, h long, _h long, `a.b` int")
+    got = langid.accepted(docs)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r.text != "12")
+    assert langid.accepted(docs.limit(0)).collect() == []
+
+
 def test_nothing_learned_gives_und_and_accepts_letters(spark, small):
     docs = small[0].selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "1 AS score")
     assert {r.lang_pred for r in langid.language_report(docs).collect()} == {"und"}
