@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import frugal
+
 #: Distinct words whose ids a worker remembers (in each of two generations).
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 125_000
 
 # White space of the tokenizer's regular expressions.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -153,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
                 decoded = pa.array([bpe.decode(r) for r in raw], pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(np.diff(where).astype(np.int64)), ids, decoded], names=schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(frugal(run), schema)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -172,4 +174,4 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 second.append(hashlib.sha256(bpe.decode(raw).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, rows_of, slices, utf8
+from .common import crc_fold, frugal, rows_of, slices, utf8
 from .quality_rules import measure
 
 #: Bounds of the sample that is learned from: labelled rows, and the pool of unlabelled ones.
@@ -146,7 +146,7 @@ def featured(rows: DataFrame, mark: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (mark, "h")], pa.array(list(t), pa.list_(pa.float64())), batch.column("m").slice(a, b - a)], names=[mark, "h", "t", "m"])
 
     schema = T.StructType([rows.schema[mark], T.StructField("h", T.LongType()), T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
-    return rows.select(mark, F.xxhash64("doc_id", "text").alias("h"), "text", "m").mapInArrow(run, schema)
+    return rows.select(mark, F.xxhash64("doc_id", "text").alias("h"), "text", "m").mapInArrow(frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -174,4 +174,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 good = scores[2] >= 0.5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), *[pa.array(s) for s in scores], pa.array(good.astype(np.int32)), pa.array(good)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run), schema)

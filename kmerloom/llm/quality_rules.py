@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, rows_of, slices, utf8, word_hashes, word_spans
+from .common import frugal, mix64, rows_of, slices, utf8, word_hashes, word_spans
 
 #: A text with fewer words, or with a larger percentage of repeated words, fails whatever its lines are.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -262,7 +262,7 @@ def apply_rules(docs: DataFrame, field: LineField) -> DataFrame:
                 kept = ~t.base_failed & (100 * content >= LEAST_CONTENT * t.n_words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *[pa.array(getattr(t, c).astype(np.int64)) for c in _COUNTS], pa.array(t.base_failed), pa.array(kept), pa.array(content)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8, written
+from .common import frugal, slices, utf8, written
 
 #: Bytes of text whose pre-tokens share one dictionary.
 BLOCK_BYTES = 48 << 20
@@ -136,7 +136,7 @@ def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
                     names=_BLOCK.names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run, None), _BLOCK)
 
 
 def count_pieces(dictionaries: DataFrame, path: str) -> DataFrame:
@@ -164,7 +164,7 @@ def count_pieces(dictionaries: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(packed, pa.binary())], names=["block", "packed"])
 
     parts = int(dictionaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dictionaries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, packed binary")
+    return dictionaries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run, None), "block long, packed binary")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -190,7 +190,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 totals = ends[stops] - ends[stops - counts]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(totals, pa.int64()), pa.array(totals > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return joined.mapInArrow(frugal(run, None), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _table(table: pa.Table) -> pa.Table:

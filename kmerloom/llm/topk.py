@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Segments a vector is cut into, coarse to fine.
 LEVELS = (1, 4, 16)
 QUERIES_PER_BLOCK = 1024
@@ -111,7 +113,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: int = 256) ->
             for a in range(0, len(ids), size):
                 yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([ids[a : a + size].astype("<i8").tobytes()], pa.binary()), pa.array([matrix[a : a + size].astype("<i8").tobytes()], pa.binary())], names=["width", "ids", "matrix"])
 
-        return df.mapInArrow(run, "width int, ids binary, matrix binary")
+        return df.mapInArrow(frugal(run, None), "width int, ids binary, matrix binary")
 
     # a grid of cells: vectors are dealt out over its lines and queries over its columns
     columns = max(1, round((parts / every) ** 0.5))
@@ -133,7 +135,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: int = 256) ->
                 if sum(n):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[[x[0] for x in found]], n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["query_id", "vec_id", "score"])
 
-    partial = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    partial = pairs.mapInArrow(frugal(search, None), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, rows_of, slices, utf8, word_buckets
+from .common import crc_fold, frugal, rows_of, slices, utf8, word_buckets
 
 #: Hash buckets of words (as a power of two).
 BITS = 18
@@ -34,7 +34,7 @@ def bucket_rows(docs: DataFrame, mark: str) -> DataFrame:
                 where = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(mark).slice(a, b - a), pa.ListArray.from_arrays(pa.array(where), pa.array(buckets.astype(np.int32)))], names=[mark, "buckets"])
 
-    return docs.select(mark, "text").mapInArrow(run, T.StructType([docs.schema[mark], T.StructField("buckets", T.ArrayType(T.IntegerType()))]))
+    return docs.select(mark, "text").mapInArrow(frugal(run), T.StructType([docs.schema[mark], T.StructField("buckets", T.ArrayType(T.IntegerType()))]))
 
 
 class Sparse:
@@ -163,4 +163,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text").mapInArrow(frugal(run), schema)
