@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import codes, dna
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class Graph:
 
 def sequences(docs: DataFrame) -> DataFrame:
     """``doc_id, lang, seq``: the letters acgt of each text, in capitals."""
-    seq = F.regexp_replace(F.translate(F.col("text"), "acgt", "ACGT"), "[^ACGT]", "")
+    seq = F.upper(F.regexp_replace(F.col("text"), "[^ACGTacgt]+", ""))
     return docs.select("doc_id", "lang", seq.alias("seq"))
 
 
@@ -39,20 +39,26 @@ def kmer_rows(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     return reads.where(F.length("seq") >= k).select(*keep, F.explode(dna.occurrences("seq", k)).alias("o")).select(*keep, "o.*")
 
 
-def build(reads: DataFrame, k: int, samples: tuple[str, ...]) -> Graph:
-    """A graph of ``reads (color, seq)``.
+def coded(reads: DataFrame, k: int) -> DataFrame:
+    """Partial counts of ``reads (color, seq)``: ``w0, ..., color, coverage, edges`` of two-bit codes.
 
     Each occurrence brings one to the coverage of its canonical k-mer and the flags of its two
-    neighbours, turned to the strand of that k-mer; one aggregation, partial before its only
-    shuffle, adds the coverage and joins the flags. A sequence shorter than k has no k-mer.
+    neighbours, turned to the strand of that k-mer. A sequence shorter than k has no k-mer, nor
+    has a window with a letter other than ACGT.
     """
-    rows = kmer_rows(reads, dna.checked_k(k), "color")
-    rc = dna.revcomp("kmer")
-    seen = dna.flag("before", dna.BEFORE).bitwiseOR(dna.flag("after", dna.AFTER))
-    mask = dna.strand_mask(seen, F.col("kmer") <= rc)
-    rows = rows.select(F.least("kmer", rc).alias("kmer"), "color", mask.alias("m"))
-    nodes = rows.groupBy("kmer", "color").agg(F.count("*").alias("coverage"), F.bit_or("m").alias("edges"))
-    return Graph(nodes, k, tuple(samples))
+    rows = reads.where("color IS NOT NULL AND seq IS NOT NULL").select(F.col("color").cast("int").alias("color"), "seq")
+    return rows.mapInArrow(codes.counter(dna.checked_k(k)), codes.schema(k))
+
+
+def summed(partial: DataFrame, k: int) -> DataFrame:
+    """``kmer, color, coverage, edges`` of partial counts; one shuffle, of integers."""
+    nodes = partial.groupBy(*codes.names(k), "color").agg(F.sum("coverage").alias("coverage"), F.bit_or("edges").alias("edges"))
+    return nodes.select(codes.text(k).alias("kmer"), "color", "coverage", "edges")
+
+
+def build(reads: DataFrame, k: int, samples: tuple[str, ...]) -> Graph:
+    """A graph of ``reads (color, seq)``; see :func:`coded`. Text is made only of what is aggregated."""
+    return Graph(summed(coded(reads, k), k), k, tuple(samples))
 
 
 def read_graph(spark, reads: list[tuple[str, str]], k: int) -> Graph:

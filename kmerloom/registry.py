@@ -522,4 +522,4 @@ def stream_coverage(spark, sf):
 
     source = written(reads(spark, sf).select("color", "seq"), "reads")
     folder = source.inputFiles()[0].rsplit("/", 1)[0]
-    return count_folder(spark, folder, "color int, seq string", K, "stream_coverage_nodes")
+    return count_folder(spark, folder, "color int, seq string", K)

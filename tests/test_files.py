@@ -133,7 +133,7 @@ def test_align_all_rows(spark):
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(0, "ACGTT"), (1, "ACCTTA"), (0, "ACGTT")], "color int, seq string")
     df.repartition(3).write.parquet(str(tmp_path / "reads"))
-    got = sorted(map(tuple, counts.count_folder(spark, str(tmp_path / "reads"), "color int, seq string", 3, "stream_test").collect()))
+    got = sorted(map(tuple, counts.count_folder(spark, str(tmp_path / "reads"), "color int, seq string", 3).collect()))
     assert got == sorted(map(tuple, g.build(df, 3, ("a", "b")).nodes.collect()))
 
 

@@ -187,3 +187,30 @@ def test_keep_color_drops_loops_and_untouched_kmers(spark):
 def test_compose_takes_the_right_rows(spark):
     both = views.compose(reads(spark, "AAAT"), reads(spark, "AAAT", "AAAG"))
     assert {r.kmer: r.coverage for r in both.nodes.collect()} == {"AAA": 2, "AAT": 1, "AAG": 1}
+
+
+@pytest.mark.parametrize("k", [3, 11, 31, 33, 47, 65])
+def test_codes_equal_strings(spark, k):
+    """Two-bit construction against a plain count, over words, strands, other letters and short reads."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(k)
+    reads = [(rng.randrange(2), "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 3 * k)))) for _ in range(30)]
+    reads += [(0, reads[3][1] + "N" + reads[4][1]), (1, "A" * (k + 2)), (0, ""), (0, None), (1, "AC" * k)]
+    comp = str.maketrans("ACGT", "TGCA")
+    before, after = {"A": 128, "C": 64, "G": 32, "T": 16}, {"A": 1, "C": 2, "G": 4, "T": 8}
+    count, edges = Counter(), Counter()
+    for color, seq in reads:
+        for i in range(len(seq or "") - k + 1):
+            kmer = seq[i : i + k]
+            if "N" in kmer:
+                continue
+            rc = kmer[::-1].translate(comp)
+            m = (before.get(seq[i - 1], 0) if i else 0) | (after.get(seq[i + k], 0) if i + k < len(seq) else 0)
+            if rc < kmer:
+                m = (m << 4 | m >> 4) & 255
+            count[min(kmer, rc), color] += 1
+            edges[min(kmer, rc), color] |= m
+    got = g.build(spark.createDataFrame(reads, "color int, seq string"), k, ("a", "b")).nodes.collect()
+    assert sorted(map(tuple, got)) == sorted((x, c, n, edges[x, c]) for (x, c), n in count.items())
