@@ -8,8 +8,10 @@ import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
+from .functions import dna
 from .operators import lookup, paths, traverse, unitigs, views
 from .plans import graph as g
 from .sources import binary, text
@@ -131,9 +133,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         seeds = text.read_fasta(spark, args.fasta).select("seq")
         found = traverse.explore(graph, seeds, "both", (args.color,) if args.color is not None else None, args.max_nodes)
         part = graph.with_nodes(graph.nodes.join(found, "kmer", "left_semi"))
-        first = [r.seq[i : i + graph.k] for r in seeds.limit(1000).collect() for i in range(len(r.seq) - graph.k + 1)]
+        first = seeds.select(F.explode(dna.kmer_array("seq", graph.k)).alias("node"))
         result = paths.simple_paths(part, first)
-        say(text.fasta_lines(paths.numbered(result)), "value", args.out)
+        say(text.fasta_lines(paths.numbered(result, None)), "value", args.out)
     return 0
 
 

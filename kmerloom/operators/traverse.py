@@ -43,18 +43,20 @@ def oriented_components(u: Unitigs) -> DataFrame:
     return c.join(c.groupBy("component").agg(F.min("least_node").alias("label")), "component").select("head", "component", "label")
 
 
-def orient(u: Unitigs, seeds: list[str] | None = None) -> DataFrame:
+def orient(u: Unitigs, seeds: list[str] | DataFrame | None = None) -> DataFrame:
     """``node, kmer, head, component, non_orientable``: one strand of each k-mer, so that overlaps read as plain strings.
 
     Each component exists on both strands; that with a seed in it is taken, else that with its
     least string (which is the canonical form of its least k-mer). A component that meets its own
-    reverse cannot be oriented: its k-mers keep their canonical strand and are marked.
+    reverse cannot be oriented: its k-mers keep their canonical strand and are marked. Seeds are
+    strings, or a table of them in ``node``.
     """
     c = oriented_components(u)
     m = u.members.join(c, "head")
     wanted = F.lit(1)
-    if seeds:
-        first = m.where(F.col("node").isin(seeds)).groupBy("component").agg(F.lit(True).alias("seeded"))
+    if isinstance(seeds, DataFrame) or seeds:
+        seeded = m.join(seeds.select("node").distinct(), "node", "left_semi") if isinstance(seeds, DataFrame) else m.where(F.col("node").isin(seeds))
+        first = seeded.groupBy("component").agg(F.lit(True).alias("seeded"))
         m = m.join(first, "component", "left")
         wanted = F.when(F.coalesce("seeded", F.lit(False)), 0).otherwise(1)
     choice = F.struct(wanted.alias("w"), F.col("label").alias("label"), (F.col("node") != F.col("kmer")).alias("reverse"), F.col("node").alias("node"), F.col("head").alias("head"), F.col("component").alias("component"))

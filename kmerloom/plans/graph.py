@@ -120,4 +120,7 @@ def validate(graph: Graph) -> DataFrame:
     reason = F.lit(None).cast("string")
     for test, name in reversed(reasons):
         reason = F.when(test, name).otherwise(reason)
-    return n.withColumn("reason", reason).where("reason IS NOT NULL")
+    broken = n.withColumn("reason", reason).where("reason IS NOT NULL")
+    # a k-mer needs coverage in some color
+    empty = n.groupBy("kmer").agg(F.max("coverage").alias("most")).where("most = 0").select("kmer")
+    return broken.unionByName(n.join(empty, "kmer", "left_semi").withColumn("reason", F.lit("no coverage")).select(broken.columns))

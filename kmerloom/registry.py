@@ -6,6 +6,7 @@ contigs and seeds. Every query reads its tables whole.
 
 from __future__ import annotations
 
+import functools
 import io
 import uuid
 from collections.abc import Callable
@@ -114,12 +115,12 @@ def _tables(k: int) -> str:
 
     seen = "(CASE before WHEN 'A' THEN 128 WHEN 'C' THEN 64 WHEN 'G' THEN 32 WHEN 'T' THEN 16 ELSE 0 END | CASE after WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END)"
     letters = "regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g')"
-    return f"""WITH dna AS (SELECT doc_id, lang, {letters} AS seq FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')),
+    return f"""WITH RECURSIVE dna AS (SELECT doc_id, lang, {letters} AS seq FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')),
     occ AS ({occurrences('dna', 'doc_id, lang')}),
-    g AS (SELECT {_canon('kmer')} AS kmer, (list_position(['de', 'en', 'es', 'fr'], lang) - 1)::INTEGER AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM occ GROUP BY ALL),
+    g AS MATERIALIZED (SELECT {_canon('kmer')} AS kmer, (list_position(['de', 'en', 'es', 'fr'], lang) - 1)::INTEGER AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM occ GROUP BY ALL),
     ctg AS (SELECT item_id AS contig_id, {letters} AS seq FROM benchmark),
     cocc AS ({occurrences('ctg', 'contig_id')}),
-    cg AS (SELECT {_canon('kmer')} AS kmer, 0 AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM cocc GROUP BY ALL),
+    cg AS MATERIALIZED (SELECT {_canon('kmer')} AS kmer, 0 AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM cocc GROUP BY ALL),
     """
 
 
@@ -193,9 +194,24 @@ def graph_fasta_kmers(spark, sf):
     return kmer_records(graph(spark, sf))
 
 
-@query("x AS (SELECT 1) SELECT NULL::VARCHAR AS kmer, 0 AS color, NULL::VARCHAR AS reason WHERE false")
+@query(f"""x AS (SELECT kmer, color, coverage, edges, unnest(range(0, 8)) AS way FROM g),
+y AS (SELECT CASE way WHEN 1 THEN substr(kmer, 2) WHEN 2 THEN 'N' || substr(kmer, 2) WHEN 3 THEN {_rc('kmer')} WHEN 7 THEN 'A' || substr(kmer, 1, {{k}} - 2) || 'A' ELSE kmer END AS kmer,
+  CASE way WHEN 4 THEN color + 4 ELSE color END AS color, CASE way WHEN 5 THEN -coverage WHEN 7 THEN 0 ELSE coverage END AS coverage, CASE way WHEN 6 THEN edges + 256 ELSE edges END AS edges, way FROM x),
+z AS (SELECT DISTINCT kmer, color, coverage, edges FROM y WHERE way <> 7 UNION ALL SELECT DISTINCT kmer, color, coverage, 0 FROM y WHERE way = 7 AND kmer = {_canon('kmer')} AND kmer NOT IN (SELECT kmer FROM g)),
+v AS (SELECT kmer, color, list_filter([CASE WHEN length(kmer) <> {{k}} THEN 'length' END, CASE WHEN regexp_matches(kmer, '[^ACGT]') THEN 'letters' END, CASE WHEN kmer > {_rc('kmer')} THEN 'not canonical' END, CASE WHEN color NOT IN (0, 1, 2, 3) THEN 'color' END, CASE WHEN coverage < 0 OR coverage >= 4294967296 THEN 'coverage' END, CASE WHEN edges NOT BETWEEN 0 AND 255 THEN 'edges' END], lambda r: r IS NOT NULL)[1] AS reason FROM z)
+SELECT kmer, color::INTEGER AS color, reason FROM v WHERE reason IS NOT NULL UNION ALL SELECT kmer, color, 'no coverage' FROM z WHERE kmer IN (SELECT kmer FROM z GROUP BY kmer HAVING max(coverage) = 0)""")
 def graph_validate(spark, sf):
-    return g.validate(graph(spark, sf)).select("kmer", "color", "reason")
+    """The graph with rows that break each rule: those are found and no others."""
+    base = graph(spark, sf)
+    n, c = base.nodes, F.col
+    broken = [
+        n, n.withColumn("kmer", F.substring("kmer", 2, K)), n.withColumn("kmer", F.concat(F.lit("N"), F.substring("kmer", 2, K))), n.withColumn("kmer", dna.revcomp("kmer")),
+        n.withColumn("color", c("color") + len(LANGUAGES)), n.withColumn("coverage", -c("coverage")), n.withColumn("edges", c("edges") + 256),
+    ]
+    rows = functools.reduce(DataFrame.unionByName, broken).distinct()
+    absent = n.select(F.concat(F.lit("A"), F.substring("kmer", 1, K - 2), F.lit("A")).alias("kmer"), "color", F.lit(0).cast("long").alias("coverage"), F.lit(0).alias("edges")).distinct()
+    rows = rows.unionByName(absent.where(dna.is_canonical("kmer")).join(n.select("kmer"), "kmer", "left_anti"))
+    return g.validate(base.with_nodes(rows)).select("kmer", "color", "reason")
 
 
 # --- views --------------------------------------------------------------------------------------
@@ -272,6 +288,7 @@ def edge_symmetry_check(spark, sf):
 @query("x AS (SELECT 1) SELECT kmer, color, coverage, edges FROM g WHERE kmer IN ('AAAAAAAAAAA', 'ATATATATATA')")
 def point_lookup(spark, sf):
     graph_ = graph(spark, sf)
+    graph_ = graph_.with_nodes(written(graph_.nodes, "graph"))
     return lookup.by_string(graph_, "AAAAAAAAAAA").unionByName(lookup.by_either_strand(graph_, "TATATATATAT"))
 
 
@@ -358,7 +375,50 @@ def disconnect_kmers(spark, sf):
     return views.change_edges(graph(spark, sf), _pairs(spark, sf), False).nodes.select("kmer", "color", "edges")
 
 
-# --- walks (checked against plain models and literal cases in tests) ----------------------------
+# --- walks --------------------------------------------------------------------------------------
+
+#: Doublings that close up every chain of the tables: chains are shorter than 2^DOUBLINGS.
+DOUBLINGS = 17
+
+
+def _doubled(name: str) -> str:
+    """Tables name1, name2, ...: each replaces a pointer of the one before by that of its target."""
+    return ", ".join(f"{name}{i + 1} AS MATERIALIZED (SELECT a.id, b.prev, a.pos + b.pos AS pos, least(a.low, b.low) AS low FROM {name}{i} a JOIN {name}{i} b ON b.id = a.prev)" for i in range(DOUBLINGS))
+
+
+def _base(flags: dict[str, int], x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {v} THEN '{b}'" for b, v in flags.items()) + " END"
+
+
+_TURNED = "translate({}, 'ACGT', 'TGCA')"
+# unitigs u (head, left_node, right_node, contig, repr, n_kmers, is_cycle, own), members m (head, id, pos) of oriented k-mers o
+_UNITIG_SQL = f"""s AS (SELECT kmer, string_agg(color::VARCHAR, ',' ORDER BY color) AS present, min(edges & 15) AS a0, max(edges & 15) AS a1, min(edges & 240) AS b0, max(edges & 240) AS b1, bit_or(edges) AS every FROM g GROUP BY kmer),
+h AS MATERIALIZED (SELECT kmer, present, CASE WHEN a0 = a1 THEN {_base(dna.AFTER, 'a0')} END AS after, CASE WHEN b0 = b1 THEN {_base(dna.BEFORE, 'b0')} END AS before, every & 240 <> 0 AS hb, every & 15 <> 0 AS ha FROM s),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY node) AS id, * FROM (SELECT kmer AS node, kmer, present, after, before, hb FROM h UNION ALL SELECT {_rc('kmer')}, kmer, present, {_TURNED.format('before')}, {_TURNED.format('after')}, ha FROM h)),
+l AS (SELECT y.id, x.id AS prev FROM o x JOIN o y ON y.node = substr(x.node, 2) || x.after WHERE y.before = substr(x.node, 1, 1) AND y.present = x.present AND x.kmer <> y.kmer),
+j0 AS MATERIALIZED (SELECT o.id, coalesce(l.prev, o.id) AS prev, (l.prev IS NOT NULL)::BIGINT AS pos, least(o.id, coalesce(l.prev, o.id)) AS low FROM o LEFT JOIN l USING (id)), {_doubled('j')},
+ring AS MATERIALIZED (SELECT j.id, j.low FROM j{DOUBLINGS} j JOIN j0 r ON r.id = j.prev WHERE r.prev <> r.id),
+c0 AS MATERIALIZED (SELECT j0.id, CASE WHEN j0.id = ring.low THEN j0.id ELSE prev END AS prev, (j0.id <> ring.low)::BIGINT AS pos, 0 AS low FROM j0 JOIN ring USING (id)), {_doubled('c')},
+m AS MATERIALIZED (SELECT id, prev AS head, pos, false AS is_cycle FROM j{DOUBLINGS} WHERE NOT EXISTS (SELECT 1 FROM ring WHERE ring.id = j{DOUBLINGS}.id) UNION ALL SELECT id, prev, pos, true FROM c{DOUBLINGS}),
+r AS (SELECT head, any_value(is_cycle) AS is_cycle, count(*) AS n_kmers, arg_max(node, pos) AS right_node, arg_min(node, pos) AS left_node, arg_min(hb, pos) AS hb, min(kmer) AS least_kmer, min(node) AS least_node, string_agg(substr(node, {{k}}, 1), '' ORDER BY pos) AS tail FROM m JOIN o USING (id) GROUP BY head),
+w AS (SELECT *, substr(left_node, 1, {{k}} - 1) || tail AS contig FROM r),
+u AS MATERIALIZED (SELECT head, left_node, right_node, contig, CASE WHEN hb THEN substr(contig, {{k}}) ELSE contig END AS repr, n_kmers, is_cycle, least_node, CASE WHEN is_cycle THEN least_node = least_kmer ELSE contig <= {_rc('contig')} END AS own FROM w),
+x AS MATERIALIZED (SELECT a.head AS a, z.head AS z, a.contig AS from_contig, z.contig AS to_contig, color FROM {_oriented('g', 'color')} q JOIN u a ON a.right_node = q.node JOIN {_AFTER} ON q.edges & bit <> 0 JOIN u z ON z.left_node = substr(q.node, 2) || b WHERE a.head <> z.head OR a.is_cycle)"""
+_COMPONENT_SQL = _UNITIG_SQL + """, y AS (SELECT a AS one, z AS two FROM x UNION SELECT z, a FROM x), t AS (SELECT head AS id, head AS low FROM u UNION SELECT y.two, t.low FROM t JOIN y ON y.one = t.id),
+comp AS MATERIALIZED (SELECT id AS head, min(low) AS component FROM t GROUP BY id)"""
+_HIT_SQL = _COMPONENT_SQL + ", found AS MATERIALIZED (SELECT DISTINCT o.kmer FROM m JOIN o USING (id) JOIN comp USING (head) WHERE component IN (SELECT component FROM comp JOIN m USING (head) JOIN o USING (id) JOIN (SELECT DISTINCT kmer AS node FROM cocc) USING (node)))"
+
+
+def _way_sql(start: str) -> str:
+    return _UNITIG_SQL + f""", at_ AS MATERIALIZED (SELECT head, min(pos) AS pos FROM m JOIN o USING (id) JOIN (SELECT DISTINCT {start} AS node FROM cocc) USING (node) GROUP BY head),
+    f AS (SELECT z AS id FROM x JOIN at_ ON at_.head = x.a UNION SELECT x.z FROM f JOIN x ON x.a = f.id)
+    SELECT kmer FROM m JOIN o USING (id) JOIN at_ USING (head) WHERE m.pos >= at_.pos UNION SELECT kmer FROM m JOIN o USING (id) WHERE head IN (SELECT id FROM f)"""
+
+
+_TIP_SQL = f"""n AS (SELECT kmer, bit_or(edges) AS edges FROM g GROUP BY kmer),
+p AS MATERIALIZED (SELECT node, kmer, bit_count((edges & 240)::INTEGER) AS before, bit_count((edges & 15)::INTEGER) AS after, substr(node, 2) || CASE WHEN edges & 1 <> 0 THEN 'A' WHEN edges & 2 <> 0 THEN 'C' WHEN edges & 4 <> 0 THEN 'G' WHEN edges & 8 <> 0 THEN 'T' END AS next FROM {_oriented('n')}),
+t AS (SELECT 0 AS step, node, []::VARCHAR[] AS tip FROM p WHERE before = 0 UNION ALL SELECT step + 1, p.next, list_append(tip, p.kmer) FROM t JOIN p USING (node) WHERE step < 5 AND before <= 1 AND after <= 1),
+tip AS MATERIALIZED (SELECT DISTINCT unnest(tip) AS kmer FROM t LEFT JOIN p USING (node) WHERE p.kmer IS NULL OR step < 5 AND (before > 1 OR after > 1))"""
 
 
 def _unitigs(spark, sf) -> unitigs.Unitigs:
@@ -366,19 +426,19 @@ def _unitigs(spark, sf) -> unitigs.Unitigs:
     return unitigs.find_unitigs(base.with_nodes(written(base.nodes, "graph")))
 
 
-@query()
+@query(_UNITIG_SQL + " SELECT contig, repr, n_kmers, is_cycle FROM u WHERE own", LONG_K)
 def unitig_strings(spark, sf):
     return _unitigs(spark, sf).primary().select("contig", "repr", "n_kmers", "is_cycle")
 
 
-@query()
+@query(_UNITIG_SQL + f" SELECT contig, {', '.join(f'coalesce(sum(coverage) FILTER (color = {c}), 0)::BIGINT AS c{c}' for c in range(4))} FROM u JOIN m USING (head) JOIN o USING (id) JOIN g USING (kmer) WHERE own GROUP BY contig", LONG_K)
 def unitig_coverage(spark, sf):
     c = _unitigs(spark, sf).coverage()
     total = lambda i: F.aggregate("coverage", F.lit(0).cast("long"), lambda a, row: a + row[i])
     return c.select("contig", *[total(i).alias(f"c{i}") for i in range(len(LANGUAGES))])
 
 
-@query()
+@query(_UNITIG_SQL + " SELECT from_contig AS a, to_contig AS b, color FROM x", LONG_K)
 def unitig_edges(spark, sf):
     u = _unitigs(spark, sf)
     name = u.unitigs.select("head", "contig")
@@ -386,12 +446,12 @@ def unitig_edges(spark, sf):
     return e.select("a", "b", "color")
 
 
-@query()
+@query(_UNITIG_SQL + " SELECT contig, n_kmers FROM u WHERE own AND is_cycle", LONG_K)
 def cycle_unitigs(spark, sf):
     return _unitigs(spark, sf).primary().where("is_cycle").select("contig", "n_kmers")
 
 
-@query()
+@query(_COMPONENT_SQL + ", label AS (SELECT component, min(least_node) AS label FROM comp JOIN u USING (head) GROUP BY component) SELECT arg_min(node, {'a': label, 'b': node <> kmer, 'c': node}) AS node, kmer, min(component) = max(component) AS non_orientable FROM m JOIN o USING (id) JOIN comp USING (head) JOIN label USING (component) GROUP BY kmer", LONG_K)
 def consistent_orientation(spark, sf):
     return traverse.orient(_unitigs(spark, sf)).select("node", "kmer", "non_orientable")
 
@@ -413,11 +473,11 @@ def _explore(way: str):
     return run
 
 
-for _way in ("both", "original", "reverse"):
-    query()(_explore(_way))
+for _way, _sql in (("both", _HIT_SQL + " SELECT kmer FROM found"), ("original", _way_sql("kmer")), ("reverse", _way_sql(_rc("kmer")))):
+    query(_sql, LONG_K)(_explore(_way))
 
 
-@query()
+@query(_HIT_SQL + " SELECT CASE WHEN count(*) > 1 THEN 'Max nodes (1) exceeded: ' || count(*) || ' nodes found' ELSE 'within budget' END AS message FROM found", LONG_K)
 def max_nodes_guard(spark, sf):
     """The message of a budget that is too small, as a row."""
     base = graph(spark, sf, LONG_K)
@@ -430,13 +490,13 @@ def max_nodes_guard(spark, sf):
     return spark.createDataFrame([(said,)], "message string")
 
 
-@query()
+@query(_TIP_SQL + " SELECT kmer FROM tip", LONG_K)
 def tips(spark, sf):
     base = graph(spark, sf, LONG_K)
     return traverse.tips(base.with_nodes(written(base.nodes, "graph")), 5)
 
 
-@query()
+@query(_TIP_SQL + f", lost AS (SELECT kmer, edges FROM n WHERE kmer IN (SELECT kmer FROM tip)), clear AS (SELECT kmer, bit_or(flag) AS clear FROM {_back('lost')} GROUP BY kmer) SELECT kmer, color, coverage, (edges & ~coalesce(clear, 0))::INTEGER AS edges FROM g LEFT JOIN clear USING (kmer) WHERE kmer NOT IN (SELECT kmer FROM tip)", LONG_K)
 def prune_tips(spark, sf):
     base = graph(spark, sf, LONG_K)
     return traverse.prune_tips(base.with_nodes(written(base.nodes, "graph")), 5).nodes
