@@ -45,6 +45,9 @@ class HeapBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        steps = [(n["type"], (n.get("pattern") or {}).get("Regex"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if steps != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]:
+            raise ValueError(f"{path} has other normalisers than NFC, white space to a blank and lower case")
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}

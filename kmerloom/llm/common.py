@@ -53,6 +53,22 @@ def crc_fold(column: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def text_slice(text: Column, h: Column, most: int) -> Column:
+    """The text, or of one of more than ``most`` bytes a part of about so many at a place by the hash ``h`` (not negative)."""
+    length, size = F.length(text).cast("long"), F.octet_length(text)
+    shown = F.floor(length * most / size).cast("int")
+    return F.when(size <= most, text).otherwise(F.substring(text, (h % (length - shown + 1) + 1).cast("int"), shown))
+
+
+def one_of_each_id(rows: DataFrame, mark: str, *columns: str) -> DataFrame:
+    """``mark, h, columns`` of one row for each doc_id, that whose text has the least hash ``h`` (not negative).
+
+    Samples are bounded by ids; so the bound holds for rows too, however often an id repeats.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h")
+    return rows.groupBy("doc_id", mark).agg(F.min(F.struct(h, *columns)).alias("r")).select(mark, "r.h", *[f"r.{c}" for c in columns])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, crc_fold, frugal, release, slices, utf8
+from .common import BATCH_ROWS, crc_fold, frugal, release, slices, text_slice, utf8
 
 #: The sample that is learned from: labelled texts in order of a hash, of a longer one a slice of
 #: about so many bytes at a place by its hash, until a language has so many bytes.
@@ -190,9 +190,7 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> CrossParser:
     if not least:
         return CrossParser({})
     levels = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least int")
-    length = F.length("text")
-    shown = F.floor(length * SAMPLE_TEXT_BYTES / F.octet_length("text")).cast("int")
-    piece = F.when(F.octet_length("text") <= SAMPLE_TEXT_BYTES, F.col("text")).otherwise(F.substring(F.col("text"), (F.col("h") % (length - shown + 1) + 1).cast("int"), shown))
+    piece = text_slice(F.col("text"), F.col("h"), SAMPLE_TEXT_BYTES)
     rows = usable.join(F.broadcast(levels), "lang").where(level >= F.col("least")).select("lang", "h", piece.alias("text")).distinct().collect()
     samples: dict[str, list[np.ndarray]] = {}
     sizes_of: dict[str, int] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, frugal, rows_of, slices, utf8
+from .common import crc_fold, frugal, one_of_each_id, rows_of, slices, utf8
 from .quality_rules import measure
 
 #: Bounds of the sample that is learned from: labelled rows, and the pool of unlabelled ones.
@@ -41,8 +41,8 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
 def meta_matrix(buckets: list[list[int]]) -> np.ndarray:
     out = np.zeros((len(buckets), META))
-    for i, own in enumerate(buckets):
-        out[i, own] = 1
+    if len(buckets):
+        np.put_along_axis(out, np.array(buckets, np.int64), 1, axis=1)
     return out
 
 
@@ -125,7 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(h).limit(LABELLED)
     pool = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(h).limit(POOL + LABELLED).join(F.broadcast(known), "doc_id", "left_anti").orderBy(h).limit(POOL).withColumn("y", F.lit(-1))
     chosen = known.select("doc_id", F.col("y").cast("int").alias("y")).unionByName(pool)
-    rows = featured(with_metadata(docs).join(F.broadcast(chosen), "doc_id"), "y").orderBy("h").collect()
+    rows = featured(one_of_each_id(with_metadata(docs).join(F.broadcast(chosen), "doc_id"), "y", "text", "m"), "y").orderBy("h").collect()
     text = np.array([r.t for r in rows], float).reshape(-1, _TEXT)
     meta = meta_matrix([r.m for r in rows])
     y = np.array([r.y for r in rows], np.int64)
@@ -146,7 +146,7 @@ def featured(rows: DataFrame, mark: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in (mark, "h")], pa.array(list(t), pa.list_(pa.float64())), batch.column("m").slice(a, b - a)], names=[mark, "h", "t", "m"])
 
     schema = T.StructType([rows.schema[mark], T.StructField("h", T.LongType()), T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("m", T.ArrayType(T.IntegerType()))])
-    return rows.select(mark, F.xxhash64("doc_id", "text").alias("h"), "text", "m").mapInArrow(frugal(run), schema)
+    return rows.select(mark, "h", "text", "m").mapInArrow(frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

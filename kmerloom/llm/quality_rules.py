@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import frugal, mix64, rows_of, slices, utf8, word_hashes, word_spans
+from .common import frugal, mix64, one_of_each_id, rows_of, slices, text_slice, utf8, word_hashes, word_spans
 
 #: A text with fewer words, or with a larger percentage of repeated words, fails whatever its lines are.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -229,11 +229,15 @@ def fit_field(features: np.ndarray, lines: np.ndarray, quality: np.ndarray) -> L
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> LineField:
-    """A field of at most SAMPLE_DOCS labelled texts, in the order of a hash of their ids."""
+    """A field of at most SAMPLE_DOCS labelled texts, in the order of a hash of their ids, one row an id.
+
+    Of a text of more than SAMPLE_TEXT_BYTES a part of about that size at a hashed place is learned from.
+    """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("lines"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.where("quality = 1").orderBy(order).limit(SAMPLE_DOCS // 2).unionByName(known.where("quality = 0").orderBy(order).limit(SAMPLE_DOCS // 2))
-    rows = docs.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").collect()
+    texts = one_of_each_id(docs.where("text IS NOT NULL").join(F.broadcast(some), "doc_id"), "quality", "text")
+    rows = texts.select("quality", "h", text_slice(F.col("text"), F.col("h"), SAMPLE_TEXT_BYTES).alias("text")).orderBy("h").collect()
     raw = [r.text.encode() for r in rows]
     t = measure(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
     return fit_field(t.features, t.lines, np.array([1 if r.quality else 0 for r in rows], np.int64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -45,6 +46,11 @@ def library_tokenizer(path: str):
 @lru_cache(maxsize=2)
 def splitter(path: str):
     """Splits a text into pre-tokens; added tokens of the file stay whole."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path} does not split texts as a plain byte-level vocabulary does")
     words = regex.compile(_SPLIT).findall
     added = [t.content for t in library_tokenizer(path).get_added_tokens_decoder().values()]
     special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None

@@ -86,7 +86,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: int = 256) ->
     Queries: rows whose id is divisible by ``every``; candidates: all other rows of the same
     width (a row is no candidate of a query with its own id). Vectors that are null or hold
     null or non-finite components take no part, nor do rows without an id. Fewer candidates
-    than k give fewer rows. Equal scores go to the smaller id. Scores are exact integers.
+    than k give fewer rows. Of query rows with one id that with the least vector asks; as candidates
+    of others all of them count. Equal scores go to the smaller id. Scores are exact integers.
 
     Both sides are packed into blocks of one width; every block of vectors meets every block of
     queries in one cell of a grid, and a pair of blocks returns k rows a query. No side is
@@ -118,7 +119,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: int = 256) ->
     # a grid of cells: vectors are dealt out over its lines and queries over its columns
     columns = max(1, round((parts / every) ** 0.5))
     lines = -(-parts // columns)
-    queries = blocks(rows.where(F.col("id") % every == 0).repartition(max(1, parts // 8)), QUERIES_PER_BLOCK)
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).withColumn("width", F.size("v"))
+    queries = blocks(asked.repartition(max(1, parts // 8)), QUERIES_PER_BLOCK)
     queries = queries.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"}).withColumn("column", F.pmod(F.xxhash64("q_ids"), F.lit(columns)).cast("int")).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
     candidates = blocks(rows, VECTORS_PER_BLOCK)
     candidates = candidates.withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"}).withColumn("line", F.pmod(F.xxhash64("c_ids"), F.lit(lines)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_fold, frugal, rows_of, slices, utf8, word_buckets
+from .common import crc_fold, frugal, one_of_each_id, rows_of, slices, text_slice, utf8, word_buckets
 
 #: Hash buckets of words (as a power of two).
 BITS = 18
@@ -16,6 +16,8 @@ BITS = 18
 PREFIXES = (5, 7)
 #: Bounds of the sample that is learned from: confirmed toxic rows, and unlabelled rows.
 POSITIVES, UNLABELLED = 3000, 9000
+#: Bytes of a text that are learned from: a longer one brings a part of that size at a hashed place.
+SAMPLE_TEXT_BYTES = 40_000
 #: A word gets a weight only if LEAST positives have it and its share among positives differs
 #: from that among unlabelled rows by this many standard errors.
 LEAST, ERRORS = 3, 4.0
@@ -56,6 +58,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def nnpu_gradient(positive: Sparse, unlabelled: Sparse, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray, float]:
+    """R-(U) - prior * R-(P), and the direction (weights, bias) against which :func:`fit_nnpu` steps."""
+    sp, su = _sigmoid(positive.times(w) + b), _sigmoid(unlabelled.times(w) + b)
+    slope_p, slope_u = sp * (1 - sp) / max(1, len(sp)), su * (1 - su) / max(1, len(su))
+    # loss of label +1 is 1 - s, of label -1 is s
+    excess = float(su.mean() - prior * sp.mean()) if len(su) and len(sp) else 0.0
+    gp, gu = (-2 * prior * slope_p, slope_u) if excess >= 0 else (prior * slope_p, -slope_u)
+    return excess, positive.back(gp, len(w)) + unlabelled.back(gu, len(w)), gp.sum() + gu.sum()
+
+
 def fit_nnpu(positive: Sparse, unlabelled: Sparse, size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that lessen prior * R+(P) + max(0, R-(U) - prior * R-(P)) under the sigmoid loss.
 
@@ -65,16 +77,8 @@ def fit_nnpu(positive: Sparse, unlabelled: Sparse, size: int, prior: float) -> t
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        sp, su = _sigmoid(positive.times(w) + b), _sigmoid(unlabelled.times(w) + b)
-        slope_p, slope_u = sp * (1 - sp) / max(1, len(sp)), su * (1 - su) / max(1, len(su))
-        # loss of label +1 is 1 - s, of label -1 is s
-        excess = su.mean() - prior * sp.mean() if len(su) and len(sp) else 0.0
-        if excess >= 0:
-            gp, gu = -2 * prior * slope_p, slope_u
-        else:
-            gp, gu = prior * slope_p, -slope_u
-        g = positive.back(gp, size) + unlabelled.back(gu, size) + DECAY * w
-        gb = gp.sum() + gu.sum()
+        _, g, gb = nnpu_gradient(positive, unlabelled, w, b, prior)
+        g = g + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -99,16 +103,17 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[n
     """Buckets of positives and of unlabelled rows, and the class prior of the labelled rows.
 
     Only labels outside the held-out fold are read. Rows come in the order of a hash of the id,
-    up to POSITIVES and UNLABELLED; the prior is that of all such labels.
+    up to POSITIVES and UNLABELLED ids, one row an id; the prior is that of all such labels.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).first()
     prior = min(max((total.k or 0) / total.n if total.n else 0.0, 1e-4), 0.95)
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
     positives = known.where("toxic = 1").select("doc_id", F.lit(1).alias("mark")).orderBy(h).limit(POSITIVES)
-    others = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("mark")).orderBy(h).limit(UNLABELLED)
+    others = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit(0).alias("mark")).distinct().orderBy(h).limit(UNLABELLED)
     chosen = positives.unionByName(others)
-    rows = bucket_rows(docs.join(F.broadcast(chosen), "doc_id"), "mark").collect()
+    texts = one_of_each_id(docs.join(F.broadcast(chosen), "doc_id"), "mark", "text")
+    rows = bucket_rows(texts.select("mark", text_slice(F.col("text"), F.col("h"), SAMPLE_TEXT_BYTES).alias("text")), "mark").collect()
     take = lambda k: [np.array(r.buckets, np.int64) for r in rows if r.mark == k]
     return take(1), take(0), prior
 
@@ -145,6 +150,9 @@ class Model:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``.
 
+    The bias of the fitted classifier is moved half the way to the cut at which the same risk with
+    counted errors is least (:func:`best_cut`), so that 0.5 is where the prior is met.
+
     The score is made of the words of the whole text alone. Null and empty texts get the score
     of a text without known words; without positive labels all get the prior. Rows with equal
     ids are scored each by itself.

@@ -214,3 +214,47 @@ def test_quality_classifier_on_held_out_rows(spark, small):
     assert sum(got[i].predicted == truth[i][1] for i in held) / len(held) > 0.95
     assert quality_classifier.classify(docs.limit(0), labels).collect() == []
     assert {r.score for r in quality_classifier.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_step_is_the_gradient_of_the_risk():
+    """By differences, on both sides of the correction."""
+    rng = np.random.default_rng(3)
+    size, signs = 6, set()
+    for trial in range(12):
+        rows = lambda n: [np.unique(rng.integers(0, size, rng.integers(0, 5))) for _ in range(n)]
+        p, u, prior = toxicity.Sparse(rows(7)), toxicity.Sparse(rows(11)), 0.1 if trial % 2 else 0.9
+        w, b = rng.normal(size=size) * 2, rng.normal()
+
+        def parts(w, b, p=p, u=u, prior=prior):
+            sp, su = 1 / (1 + np.exp(-p.times(w) - b)), 1 / (1 + np.exp(-u.times(w) - b))
+            return prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+
+        excess, g, gb = toxicity.nnpu_gradient(p, u, w, b, prior)
+        assert np.isclose(excess, parts(w, b)[1])
+        signs.add(excess >= 0)
+        aim = (lambda w, b: sum(parts(w, b))) if excess >= 0 else (lambda w, b: -parts(w, b)[1])  # noqa: B023
+        step = 1e-6
+        by_difference = [(aim(w + step * e, b) - aim(w - step * e, b)) / (2 * step) for e in np.eye(size)]
+        assert np.allclose(g, by_difference, atol=1e-6) and np.isclose(gb, (aim(w, b + step) - aim(w, b - step)) / (2 * step), atol=1e-6)
+    assert signs == {True, False}
+
+
+def test_rows_of_one_id_count_once_in_samples(spark):
+    rng = random.Random(1)
+    rows = [(1, f"{prose(rng, 'aa', 8)} {i}", "aa", "s", 5) for i in range(300)] + [(i, prose(rng, "bb", 60), "bb", "s", 9) for i in range(2, 12)]
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(1, 12)] * 2, "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "CAST(toxic AS int) AS toxic")
+    positives, unlabelled, _ = toxicity.sample(docs.select("doc_id", "text"), labels)
+    assert len(unlabelled) == 11 and len(positives) <= 4
+    clash = docs.selectExpr("*", "1 AS h", "2 AS r", "3 AS mark", "4 AS y", "5 AS quality", "6 AS `a.b`")
+    for made in (toxicity.toxicity(clash, labels), quality_rules.quality_report(clash, labels), quality_classifier.classify(clash, labels), langid.language_report(clash)):
+        assert made.count() == 350 and made.select("doc_id").distinct().count() == 11
+
+
+def test_very_long_texts_and_empty_tables(spark):
+    rng = random.Random(4)
+    long = prose(rng, "aa", 60_000)
+    docs = spark.createDataFrame([(1, long, "aa", "s", len(long)), (2, long + " x", "bb", "s", 5), (3, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    for f in (toxicity.toxicity, quality_rules.quality_report, quality_classifier.classify):
+        assert f(docs, labels).count() == 3 and f(docs.limit(0), labels.limit(0)).count() == 0

@@ -97,3 +97,17 @@ def test_many_sources_take_the_salted_way(spark, monkeypatch):
     plain = sorted(map(tuple, mixing.mix_report(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert sorted(map(tuple, mixing.mix_report(docs).collect())) == plain
+
+
+def test_query_rows_with_one_id_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (7, [1.0, 1.0]), (8, [0.5, 3.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 7, 65536), (0, 2, 8, 32768)]
+
+
+def test_mixing_repeated_rows_and_a_long_text(spark):
+    rows = [(1, "w " * 50_000, "a")] * 2 + [(2, "b c", "b")] * 3 + [(3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(df).collect()
+    assert len(got) == 6 and all(r.taken <= 3 * r["size"] for r in got)
+    assert len({(r.doc_id, r.taken) for r in got}) == 3
