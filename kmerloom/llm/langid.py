@@ -119,50 +119,54 @@ class CrossParser:
         nth = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
         start = offsets[:-1][row] + nth * PIECE
         size = np.minimum(PIECE, offsets[1:][row] - start)
+        # by step and piece, the longest pieces first, so that a step reads and writes one run of memory
         order = np.argsort(-size, kind="stable")
-        states = np.zeros((len(self.languages), len(coded)), np.int32)
-        begins = np.zeros((len(self.languages), len(coded)), bool)
+        row, nth, start, size = row[order], nth[order], start[order], size[order]
+        after = np.full(len(row) + 1, -1)
+        after[order] = np.arange(len(row))
+        after = after[order + 1]
+        after[after >= 0] = np.where(nth[after[after >= 0]] > 0, after[after >= 0], -1)
+        steps, languages = int(size.max(initial=0)), len(self.languages)
+        running = np.searchsorted(-size, -np.arange(steps), side="left")
+        symbol = np.zeros((steps, len(row)), np.int32)
+        states = np.zeros((steps, languages, len(row)), np.int32)
+        begins = np.zeros((steps, languages, len(row)), bool)
         state = np.repeat(self.roots, len(row), axis=1)
-        running = np.searchsorted(-size[order], -np.arange(PIECE), side="left")
-        for i in range(PIECE):
-            k = running[i]
-            if not k:
-                break
-            at = start[order[:k]] + i
-            c = coded[at]
+        for i, k in enumerate(running):
+            c = symbol[i, :k] = coded[start[:k] + i]
             now = state[:, :k]
             to = self.table.take(now + c, mode="clip")
             failed = to == 0
-            begins[:, at] = failed | (now == self.roots)
-            state[:, :k] = now = np.where(failed, self.first[:, c], to)
-            states[:, at] = now
-        language, piece = np.nonzero(np.broadcast_to(nth > 0, (len(self.languages), len(row))))
+            begins[i, :, :k] = failed | (now == self.roots)
+            state[:, :k] = np.where(failed, self.first[:, c], to)
+            states[i, :, :k] = state[:, :k]
+        piece = np.flatnonzero(after >= 0)
+        language, piece = np.repeat(np.arange(languages), len(piece)), np.tile(piece, languages)
         while len(piece):
-            language, piece = self._carry_on(coded, start, size, states, begins, language, piece)
-            more = (piece + 1 < len(row)) & (nth[np.minimum(piece + 1, len(row) - 1)] > 0)
-            language, piece = language[more], piece[more] + 1
-        ends = np.concatenate([np.zeros((len(self.languages), 1), np.int64), np.cumsum(begins, axis=1, dtype=np.int64)], axis=1)
-        return ends[:, offsets[1:]] - ends[:, offsets[:-1]]
-
-    def _carry_on(self, coded, start, size, states, begins, language, piece) -> tuple[np.ndarray, np.ndarray]:
-        """Parse the pieces from the states in which those before them end; returns those whose own end has changed."""
-        now = states[language, start[piece] - 1].astype(np.int64)
+            now = states[size[piece] - 1, language, piece].astype(np.int64)
+            language, piece = self._carry_on(symbol, size, states, begins, language, after[piece], now)
+            more = after[piece] >= 0
+            language, piece = language[more], piece[more]
+        each = begins.sum(axis=0)
+        return np.stack([np.bincount(row, x, len(n)).astype(np.int64) for x in each]) if languages else np.zeros((0, len(n)), np.int64)
+
+    def _carry_on(self, symbol, size, states, begins, language, piece, now) -> tuple[np.ndarray, np.ndarray]:
+        """Parse the pieces from the states before them; returns those whose own end has changed."""
         changed = []
-        for i in range(PIECE):
+        for i in range(len(symbol)):
             over = size[piece] <= i
             if over.any():
                 changed.append((language[over], piece[over]))
                 language, piece, now = language[~over], piece[~over], now[~over]
             if not len(piece):
                 break
-            at = start[piece] + i
-            c = coded[at]
+            c = symbol[i, piece]
             to = self.table.take(now + c, mode="clip")
             failed = to == 0
-            begins[language, at] = failed | (now == self.roots[language, 0])
+            begins[i, language, piece] = failed | (now == self.roots[language, 0])
             now = np.where(failed, self.first[language, c], to)
-            apart = states[language, at] != now
-            states[language, at] = now
+            apart = states[i, language, piece] != now
+            states[i, language, piece] = now
             language, piece, now = language[apart], piece[apart], now[apart]
         changed.append((language, piece))
         return tuple(np.concatenate([x[k] for x in changed]) for k in (0, 1))
