@@ -1,7 +1,8 @@
 """The registered graph queries, over the driver's tables, and the SQL they must equal.
 
-Reads are the letters acgt of ``documents``; the language is the sample. ``benchmark`` brings
-contigs and seeds. Every query reads its tables whole.
+Reads are the letters acgt of ``documents``; the language is the sample, and documents of no
+language or of one without a color of its own share the last. ``benchmark`` brings contigs and
+seeds. Every query reads its tables whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from .plans import graph as g
 from .plans.persist import shared_root, written
 
 LANGUAGES = ("de", "en", "es", "fr")
+#: Colors of the graph: the last takes documents of every other language and of none.
+SAMPLES = (*LANGUAGES, "other")
+COLORS = len(SAMPLES)
 #: k of scans and aggregates, and of operators that walk the graph.
 K, LONG_K = 11, 31
 
@@ -51,12 +55,13 @@ def oracle_sql() -> dict[str, str]:
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
     docs = g.sequences(spark.read.parquet(f"{sf}/documents.parquet"))
-    color = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
-    return docs.select("doc_id", "lang", color.cast("int").alias("color"), "seq").where("color >= 0")
+    own = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
+    color = F.when(F.col("lang").isin(*LANGUAGES), own).otherwise(len(LANGUAGES))
+    return docs.select("doc_id", "lang", color.cast("int").alias("color"), "seq")
 
 
 def graph(spark: SparkSession, sf: str, k: int = K) -> g.Graph:
-    return g.build(reads(spark, sf), k, LANGUAGES)
+    return g.build(reads(spark, sf), k, SAMPLES)
 
 
 def contigs(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,9 +120,9 @@ def _tables(k: int) -> str:
 
     seen = "(CASE before WHEN 'A' THEN 128 WHEN 'C' THEN 64 WHEN 'G' THEN 32 WHEN 'T' THEN 16 ELSE 0 END | CASE after WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END)"
     letters = "regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', '', 'g')"
-    return f"""WITH RECURSIVE dna AS (SELECT doc_id, lang, {letters} AS seq FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')),
+    return f"""WITH RECURSIVE dna AS (SELECT doc_id, lang, {letters} AS seq FROM documents),
     occ AS ({occurrences('dna', 'doc_id, lang')}),
-    g AS MATERIALIZED (SELECT {_canon('kmer')} AS kmer, (list_position(['de', 'en', 'es', 'fr'], lang) - 1)::INTEGER AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM occ GROUP BY ALL),
+    g AS MATERIALIZED (SELECT {_canon('kmer')} AS kmer, (CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END)::INTEGER AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM occ GROUP BY ALL),
     ctg AS (SELECT item_id AS contig_id, {letters} AS seq FROM benchmark),
     cocc AS ({occurrences('ctg', 'contig_id')}),
     cg AS MATERIALIZED (SELECT {_canon('kmer')} AS kmer, 0 AS color, count(*) AS coverage, bit_or({_turn(seen, 'kmer')})::INTEGER AS edges FROM cocc GROUP BY ALL),
@@ -172,6 +177,11 @@ def graph_totals(spark, sf):
     return graph(spark, sf).nodes.groupBy("color").agg(F.count("*").alias("kmers"), F.sum("coverage").alias("coverage"), F.sum(F.bit_count("edges")).alias("flags"))
 
 
+@query("x AS (SELECT 1) SELECT count(DISTINCT kmer) AS kmers FROM g")
+def kmer_count_distinct(spark, sf):
+    return graph(spark, sf).nodes.select("kmer").distinct().agg(F.count("*").alias("kmers"))
+
+
 @query("x AS (SELECT 1) SELECT kmer, color, edges FROM g")
 def edge_masks(spark, sf):
     return graph(spark, sf).nodes.select("kmer", "color", "edges")
@@ -182,7 +192,7 @@ def edge_strings(spark, sf):
     return graph(spark, sf).nodes.select("kmer", "color", dna.edge_string("edges").alias("shown"), dna.edge_string_revcomp("edges").alias("reversed"))
 
 
-@query(f"w AS {_wide('g', 4)} SELECT concat_ws(' ', kmer, c0, c1, c2, c3, {', '.join(_shown(f'e{c}') for c in range(4))}) AS line FROM w")
+@query(f"w AS {_wide('g', COLORS)} SELECT concat_ws(' ', kmer, {', '.join(f'c{c}' for c in range(COLORS))}, {', '.join(_shown(f'e{c}') for c in range(COLORS))}) AS line FROM w")
 def graph_view_text(spark, sf):
     return views.text_lines(graph(spark, sf))
 
@@ -196,9 +206,9 @@ def graph_fasta_kmers(spark, sf):
 
 @query(f"""x AS (SELECT kmer, color, coverage, edges, unnest(range(0, 8)) AS way FROM g),
 y AS (SELECT CASE way WHEN 1 THEN substr(kmer, 2) WHEN 2 THEN 'N' || substr(kmer, 2) WHEN 3 THEN {_rc('kmer')} WHEN 7 THEN 'A' || substr(kmer, 1, {{k}} - 2) || 'A' ELSE kmer END AS kmer,
-  CASE way WHEN 4 THEN color + 4 ELSE color END AS color, CASE way WHEN 5 THEN -coverage WHEN 7 THEN 0 ELSE coverage END AS coverage, CASE way WHEN 6 THEN edges + 256 ELSE edges END AS edges, way FROM x),
+  CASE way WHEN 4 THEN color + 5 ELSE color END AS color, CASE way WHEN 5 THEN -coverage WHEN 7 THEN 0 ELSE coverage END AS coverage, CASE way WHEN 6 THEN edges + 256 ELSE edges END AS edges, way FROM x),
 z AS (SELECT DISTINCT kmer, color, coverage, edges FROM y WHERE way <> 7 UNION ALL SELECT DISTINCT kmer, color, coverage, 0 FROM y WHERE way = 7 AND kmer = {_canon('kmer')} AND kmer NOT IN (SELECT kmer FROM g)),
-v AS (SELECT kmer, color, list_filter([CASE WHEN length(kmer) <> {{k}} THEN 'length' END, CASE WHEN regexp_matches(kmer, '[^ACGT]') THEN 'letters' END, CASE WHEN kmer > {_rc('kmer')} THEN 'not canonical' END, CASE WHEN color NOT IN (0, 1, 2, 3) THEN 'color' END, CASE WHEN coverage < 0 OR coverage >= 4294967296 THEN 'coverage' END, CASE WHEN edges NOT BETWEEN 0 AND 255 THEN 'edges' END], lambda r: r IS NOT NULL)[1] AS reason FROM z)
+v AS (SELECT kmer, color, list_filter([CASE WHEN length(kmer) <> {{k}} THEN 'length' END, CASE WHEN regexp_matches(kmer, '[^ACGT]') THEN 'letters' END, CASE WHEN kmer > {_rc('kmer')} THEN 'not canonical' END, CASE WHEN color NOT IN (0, 1, 2, 3, 4) THEN 'color' END, CASE WHEN coverage < 0 OR coverage >= 4294967296 THEN 'coverage' END, CASE WHEN edges NOT BETWEEN 0 AND 255 THEN 'edges' END], lambda r: r IS NOT NULL)[1] AS reason FROM z)
 SELECT kmer, color::INTEGER AS color, reason FROM v WHERE reason IS NOT NULL UNION ALL SELECT kmer, color, 'no coverage' FROM z WHERE kmer IN (SELECT kmer FROM z GROUP BY kmer HAVING max(coverage) = 0)""")
 def graph_validate(spark, sf):
     """The graph with rows that break each rule: those are found and no others."""
@@ -206,7 +216,7 @@ def graph_validate(spark, sf):
     n, c = base.nodes, F.col
     broken = [
         n, n.withColumn("kmer", F.substring("kmer", 2, K)), n.withColumn("kmer", F.concat(F.lit("N"), F.substring("kmer", 2, K))), n.withColumn("kmer", dna.revcomp("kmer")),
-        n.withColumn("color", c("color") + len(LANGUAGES)), n.withColumn("coverage", -c("coverage")), n.withColumn("edges", c("edges") + 256),
+        n.withColumn("color", c("color") + COLORS), n.withColumn("coverage", -c("coverage")), n.withColumn("edges", c("edges") + 256),
     ]
     rows = functools.reduce(DataFrame.unionByName, broken).distinct()
     absent = n.select(F.concat(F.lit("A"), F.substring("kmer", 1, K - 2), F.lit("A")).alias("kmer"), "color", F.lit(0).cast("long").alias("coverage"), F.lit(0).alias("edges")).distinct()
@@ -303,10 +313,10 @@ def sorted_rank(spark, sf):
     return lookup.ranks(graph(spark, sf), probes)
 
 
-@query("u AS (SELECT * FROM g UNION ALL SELECT kmer, 4, coverage, edges FROM cg) " + f"SELECT kmer, {', '.join(f'c{c}, e{c}' for c in range(5))} FROM {_wide('u', 5)}")
+@query(f"u AS (SELECT * FROM g UNION ALL SELECT kmer, {COLORS}, coverage, edges FROM cg) SELECT kmer, {', '.join(f'c{c}, e{c}' for c in range(COLORS + 1))} FROM {_wide('u', COLORS + 1)}")
 def merge_graphs_full_outer(spark, sf):
     w = g.to_wide(g.merge(graph(spark, sf), contig_graph(spark, sf)))
-    return w.select("kmer", *[x for c in range(5) for x in (F.col("coverage")[c].alias(f"c{c}"), F.col("edges")[c].alias(f"e{c}"))])
+    return w.select("kmer", *[x for c in range(COLORS + 1) for x in (F.col("coverage")[c].alias(f"c{c}"), F.col("edges")[c].alias(f"e{c}"))])
 
 
 @query(f"""gone AS (SELECT DISTINCT {_canon('kmer')} AS kmer FROM cocc), lost AS (SELECT kmer, bit_or(edges) AS edges FROM g WHERE kmer IN (SELECT kmer FROM gone) GROUP BY kmer),
@@ -327,24 +337,45 @@ def compose_graphs(spark, sf):
     return both.nodes.groupBy("kmer").agg(F.count("*").alias("colors"), F.sum("coverage").alias("coverage"))
 
 
-_OWN = f"own AS (SELECT contig_id, {_canon('kmer')} AS kmer, count(*) AS n FROM cocc GROUP BY ALL), w AS {_wide('g', 4)}, m AS (SELECT contig_id, {_canon('kmer')} AS kmer, bit_or({_turn('(CASE before WHEN ' + chr(39) + 'A' + chr(39) + ' THEN 128 WHEN ' + chr(39) + 'C' + chr(39) + ' THEN 64 WHEN ' + chr(39) + 'G' + chr(39) + ' THEN 32 WHEN ' + chr(39) + 'T' + chr(39) + ' THEN 16 ELSE 0 END | CASE after WHEN ' + chr(39) + 'A' + chr(39) + ' THEN 1 WHEN ' + chr(39) + 'C' + chr(39) + ' THEN 2 WHEN ' + chr(39) + 'G' + chr(39) + ' THEN 4 WHEN ' + chr(39) + 'T' + chr(39) + ' THEN 8 ELSE 0 END)', 'kmer')})::INTEGER AS mask FROM cocc GROUP BY ALL)"
+_OWN = f"own AS (SELECT contig_id, {_canon('kmer')} AS kmer, count(*) AS n FROM cocc GROUP BY ALL), w AS {_wide('g', COLORS)}, m AS (SELECT contig_id, {_canon('kmer')} AS kmer, bit_or({_turn('(CASE before WHEN ' + chr(39) + 'A' + chr(39) + ' THEN 128 WHEN ' + chr(39) + 'C' + chr(39) + ' THEN 64 WHEN ' + chr(39) + 'G' + chr(39) + ' THEN 32 WHEN ' + chr(39) + 'T' + chr(39) + ' THEN 16 ELSE 0 END | CASE after WHEN ' + chr(39) + 'A' + chr(39) + ' THEN 1 WHEN ' + chr(39) + 'C' + chr(39) + ' THEN 2 WHEN ' + chr(39) + 'G' + chr(39) + ' THEN 4 WHEN ' + chr(39) + 'T' + chr(39) + ' THEN 8 ELSE 0 END)', 'kmer')})::INTEGER AS mask FROM cocc GROUP BY ALL)"
 
 
-@query(f"{_OWN} SELECT c.contig_id, c.pos, c.kmer AS query, own.kmer, {', '.join(f'coalesce(c{i}, 0) AS c{i}, coalesce(e{i}, 0) AS e{i}' for i in range(4))}, own.n AS c4, m.mask AS e4 FROM cocc c JOIN own ON own.contig_id = c.contig_id AND own.kmer = {_canon('c.kmer')} JOIN m ON m.contig_id = own.contig_id AND m.kmer = own.kmer LEFT JOIN w ON w.kmer = own.kmer")
+@query(f"{_OWN} SELECT c.contig_id, c.pos, c.kmer AS query, own.kmer, {', '.join(f'coalesce(c{i}, 0) AS c{i}, coalesce(e{i}, 0) AS e{i}' for i in range(COLORS))}, own.n AS c{COLORS}, m.mask AS e{COLORS} FROM cocc c JOIN own ON own.contig_id = c.contig_id AND own.kmer = {_canon('c.kmer')} JOIN m ON m.contig_id = own.contig_id AND m.kmer = own.kmer LEFT JOIN w ON w.kmer = own.kmer")
 def contig_retrieve(spark, sf):
     r = lookup.retrieve(graph(spark, sf), contigs(spark, sf))
-    return r.select("contig_id", "pos", "query", "kmer", *[x for c in range(5) for x in (F.col("coverage")[c].alias(f"c{c}"), F.col("edges")[c].alias(f"e{c}"))])
+    return r.select("contig_id", "pos", "query", "kmer", *[x for c in range(COLORS + 1) for x in (F.col("coverage")[c].alias(f"c{c}"), F.col("edges")[c].alias(f"e{c}"))])
 
 
 def _line(mask: str) -> str:
     return f"CASE WHEN own.kmer = c.kmer THEN {_shown(mask)} ELSE reverse(translate({_shown(mask)}, 'ACGTacgt', 'TGCAtgca')) END"
 
 
-@query(f"{_OWN} SELECT c.contig_id, c.pos, concat_ws(' ', own.kmer || ':', c.kmer, {', '.join(f'coalesce(c{i}, 0)' for i in range(4))}, own.n, {', '.join(_line(f'coalesce(e{i}, 0)') for i in range(4))}, {_line('m.mask')}) AS line FROM cocc c JOIN own ON own.contig_id = c.contig_id AND own.kmer = {_canon('c.kmer')} JOIN m ON m.contig_id = own.contig_id AND m.kmer = own.kmer LEFT JOIN w ON w.kmer = own.kmer")
+@query(f"{_OWN} SELECT c.contig_id, c.pos, concat_ws(' ', own.kmer || ':', c.kmer, {', '.join(f'coalesce(c{i}, 0)' for i in range(COLORS))}, own.n, {', '.join(_line(f'coalesce(e{i}, 0)') for i in range(COLORS))}, {_line('m.mask')}) AS line FROM cocc c JOIN own ON own.contig_id = c.contig_id AND own.kmer = {_canon('c.kmer')} JOIN m ON m.contig_id = own.contig_id AND m.kmer = own.kmer LEFT JOIN w ON w.kmer = own.kmer")
 def contig_edges(spark, sf):
     return lookup.contig_lines(graph(spark, sf), contigs(spark, sf))
 
 
+_AROUND = f"""ori AS (SELECT * FROM {_oriented('g', 'color')} WHERE node IN (SELECT kmer FROM cocc)),
+around AS (SELECT node AS src, substr(node, 2) || b AS dst, color FROM ori JOIN {_AFTER} ON edges & bit <> 0
+  UNION SELECT b || substr(node, 1, {{k}} - 1), node, color FROM ori JOIN (VALUES ('A', 128), ('C', 64), ('G', 32), ('T', 16)) v(b, bit) ON edges & bit <> 0
+  UNION SELECT x.kmer, y.kmer, {COLORS} FROM cocc x JOIN cocc y ON x.contig_id = y.contig_id AND y.pos = x.pos + 1)"""
+
+
+@query(f"{_AROUND} SELECT src, dst, color::INTEGER AS color FROM around")
+def contig_neighbourhood(spark, sf):
+    """Edges around all contigs, in their strand; their own edges have the last color."""
+    return lookup.contig_graph(graph(spark, sf), contigs(spark, sf))[1].select("src", "dst", F.col("color").cast("int").alias("color"))
+
+
+@query(f"""{_OWN}, {_AROUND}, ends AS (SELECT src AS node FROM around UNION SELECT dst FROM around)
+SELECT DISTINCT c.kmer AS node, {', '.join(f'coalesce(c{i}, 0) AS c{i}' for i in range(COLORS))}, own.n AS c{COLORS} FROM cocc c JOIN own ON own.contig_id = c.contig_id AND own.kmer = {_canon('c.kmer')} LEFT JOIN w ON w.kmer = own.kmer
+UNION ALL SELECT node, {', '.join('0' for _ in range(COLORS + 1))} FROM ends WHERE node NOT IN (SELECT kmer FROM cocc)""")
+def contig_neighbourhood_nodes(spark, sf):
+    """Nodes around all contigs with their coverage; zeros off the contigs."""
+    nodes = lookup.contig_graph(graph(spark, sf), contigs(spark, sf))[0]
+    return nodes.select("node", *[F.col("coverage")[c].alias(f"c{c}") for c in range(COLORS + 1)])
+
+
 @query(f"x AS (SELECT 1) SELECT DISTINCT contig_id, {_canon('kmer')} AS kmer FROM cocc WHERE {_canon('kmer')} NOT IN (SELECT kmer FROM g)", LONG_K)
 def contig_missing(spark, sf):
     own = lookup.contig_kmers(contigs(spark, sf), LONG_K).select("contig_id", "kmer").distinct()
@@ -352,7 +383,7 @@ def contig_missing(spark, sf):
 
 
 @query(f"""inside AS (SELECT kmer, color, coverage, edges FROM g WHERE kmer IN (SELECT kmer FROM cg)), f AS (SELECT kmer, color, bit_or(flag)::INTEGER AS edges FROM {_back('inside', 'color')} WHERE kmer NOT IN (SELECT kmer FROM cg) GROUP BY ALL)
-SELECT * FROM inside UNION ALL SELECT d.kmer, c.color, 1, coalesce(f.edges, 0) FROM (SELECT DISTINCT kmer FROM f) d CROSS JOIN (SELECT unnest(range(0, 4))::INTEGER AS color) c LEFT JOIN f ON f.kmer = d.kmer AND f.color = c.color""")
+SELECT * FROM inside UNION ALL SELECT d.kmer, c.color, 1, coalesce(f.edges, 0) FROM (SELECT DISTINCT kmer FROM f) d CROSS JOIN (SELECT unnest(range(0, {COLORS}))::INTEGER AS color) c LEFT JOIN f ON f.kmer = d.kmer AND f.color = c.color""")
 def boundary_annotation(spark, sf):
     return views.boundary(graph(spark, sf), contig_graph(spark, sf).nodes).nodes
 
@@ -431,11 +462,11 @@ def unitig_strings(spark, sf):
     return _unitigs(spark, sf).primary().select("contig", "repr", "n_kmers", "is_cycle")
 
 
-@query(_UNITIG_SQL + f" SELECT contig, {', '.join(f'coalesce(sum(coverage) FILTER (color = {c}), 0)::BIGINT AS c{c}' for c in range(4))} FROM u JOIN m USING (head) JOIN o USING (id) JOIN g USING (kmer) WHERE own GROUP BY contig", LONG_K)
+@query(_UNITIG_SQL + f" SELECT contig, {', '.join(f'coalesce(sum(coverage) FILTER (color = {c}), 0)::BIGINT AS c{c}' for c in range(COLORS))} FROM u JOIN m USING (head) JOIN o USING (id) JOIN g USING (kmer) WHERE own GROUP BY contig", LONG_K)
 def unitig_coverage(spark, sf):
     c = _unitigs(spark, sf).coverage()
     total = lambda i: F.aggregate("coverage", F.lit(0).cast("long"), lambda a, row: a + row[i])
-    return c.select("contig", *[total(i).alias(f"c{i}") for i in range(len(LANGUAGES))])
+    return c.select("contig", *[total(i).alias(f"c{i}") for i in range(COLORS)])
 
 
 @query(_UNITIG_SQL + " SELECT from_contig AS a, to_contig AS b, color FROM x", LONG_K)
@@ -516,6 +547,18 @@ def fasta_paths(spark, sf):
     return fasta_lines(paths.numbered(simple_paths(spark, sf)))
 
 
+@query()
+def max_paths_guard(spark, sf):
+    """The message of a path budget that is too small, as a row; the walk is over the contigs' graph."""
+    base = contig_graph(spark, sf, LONG_K)
+    try:
+        paths.simple_paths(base.with_nodes(written(base.nodes, "graph")), max_paths=1)
+        said = "within budget"
+    except traverse.BudgetExceeded as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "message string")
+
+
 @query()
 def simple_paths_cut(spark, sf):
     return paths.simple_paths(g.read_graph(spark, [("s", "ACCCAAA")], 3), ["CCC"], extra_start="CCC").select("seq")
@@ -546,12 +589,9 @@ def link_paths(spark, sf):
 
 @query()
 def mosaic_align(spark, sf):
-    """Each contig against the two before it."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("contig_id")
-    rows = contigs(spark, sf).select(F.col("contig_id").alias("query_id"), F.col("seq").alias("query"), F.array_compact(F.array(F.lag("seq", 1).over(w), F.lag("seq", 2).over(w))).alias("targets"))
-    return align.align_all(rows.where("size(targets) > 0"))
+    """Each contig against all others."""
+    rows = contigs(spark, sf).select(F.col("contig_id").alias("id"), "seq")
+    return align.align_panel(rows, rows)
 
 
 # --- files --------------------------------------------------------------------------------------
@@ -567,14 +607,38 @@ def binary_roundtrip(spark, sf):
     return written(binary.read_graph_file(spark, path).nodes, "read-back")
 
 
-@query("x AS (SELECT 1) SELECT * FROM (VALUES (6, 31, 1, 4, 28)) h(version, k, words, colors, record_size)")
+@query("x AS (SELECT 1) SELECT * FROM (VALUES (6, 31, 1, 5, 33)) h(version, k, words, colors, record_size)")
 def header_roundtrip(spark, sf):
     from .sources import binary
 
-    h = binary.Header.load(io.BytesIO(binary.Header(LONG_K, tuple(s.encode() for s in LANGUAGES)).dump()))
+    h = binary.Header.load(io.BytesIO(binary.Header(LONG_K, tuple(s.encode() for s in SAMPLES)).dump()))
     return spark.createDataFrame([(h.version, h.k, h.words, h.num_colors, h.record_size)], "version int, k int, words int, colors int, record_size int")
 
 
+@query("x AS (SELECT 1) SELECT contig_id::VARCHAR AS seq_id, seq FROM ctg")
+def fasta_roundtrip(spark, sf):
+    """Write the contigs as gzip FASTA files, read them back."""
+    from .sources import text
+
+    path = f"{shared_root(spark)}/fasta-{uuid.uuid4().hex}"
+    text.fasta_lines(contigs(spark, sf).withColumnRenamed("contig_id", "id")).write.option("compression", "gzip").text(path)
+    return text.read_fasta(spark, path)
+
+
+@query("x AS (SELECT 1) SELECT substr(seq, 1, {k}) AS kmer, 'F' AS orientation, (length(seq) - {k})::INTEGER AS num_juncs, 1::BIGINT AS count, substr(seq, {k} + 1) AS juncs FROM ctg WHERE length(seq) > {k}")
+def links_roundtrip(spark, sf):
+    """Write a gzip link file that leads along each contig, read it back. One file is one task by its format."""
+    from .sources import text
+
+    path = f"{shared_root(spark)}/links-{uuid.uuid4().hex}"
+    kmer, juncs = F.substring("seq", 1, K), F.expr(f"substr(seq, {K + 1})")
+    group = F.concat(kmer, F.lit(" 1\nF "), F.length(juncs).cast("string"), F.lit(" 1 "), juncs)
+    lines = contigs(spark, sf).where(F.length("seq") > K).select(group.alias("value"))
+    head = spark.createDataFrame([('{"graph": {"num_colours": 1}}',)], "value string")
+    head.unionByName(lines).coalesce(1).write.option("compression", "gzip").text(path)
+    return text.read_links(spark, path)
+
+
 @query("x AS (SELECT 1) SELECT kmer, color, coverage, edges FROM g")
 def stream_coverage(spark, sf):
     """The same graph from a stream of reads."""

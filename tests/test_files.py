@@ -130,6 +130,20 @@ def test_align_all_rows(spark):
     assert [(r.query_id, r.track, r.text) for r in rows] == [(1, "query", "ACGTACGT"), (1, "template0", "ACGTACGT")]
 
 
+def test_panel_is_all_other_targets_or_an_error(spark):
+    rows = spark.createDataFrame([(1, "GTAGGCGAGTCCCGTTTATA"), (2, "CCACAGAAGATGACGCCATT"), (3, "GTAGGCGAGATGACGCCAT"), (4, None), (4, "ACGT"), (None, "ACGT")], "id long, seq string")
+    got = align.align_panel(rows, rows).toPandas()
+    plain = align.align("GTAGGCGAGATGACGCCAT", ["GTAGGCGAGTCCCGTTTATA", "CCACAGAAGATGACGCCATT", "", "ACGT"])
+    third = got[got["query_id"] == 3].sort_values("n")
+    assert list(zip(third["track"], third["text"], strict=True)) == [t[:2] for t in plain.tracks] and third["llk"].iloc[0] == plain.llk
+    # rows of one id are no targets of each other, nor has a row without an id part in it
+    assert set(got["query_id"]) == {1, 2, 3, 4}
+    assert align.align_panel(rows.limit(0), rows.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="panel"):
+        align.align_panel(rows, rows, letters=50)
+
+
+
 def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(0, "ACGTT"), (1, "ACCTTA"), (0, "ACGTT")], "color int, seq string")
     df.repartition(3).write.parquet(str(tmp_path / "reads"))

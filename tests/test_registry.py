@@ -34,6 +34,21 @@ def test_query_equals_its_sql(spark, name):
     assert rows(got, columns) == rows(expected, columns)
 
 
+@pytest.mark.parametrize("name", ["dna_sequences", "kmer_color_coverage", "graph_view_text", "contig_retrieve", "contig_neighbourhood", "contig_neighbourhood_nodes", "fasta_roundtrip", "links_roundtrip"])
+def test_documents_of_any_language_or_none_are_in(spark, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'pt' ELSE lang END AS lang) FROM '{SF}/documents.parquet') TO '{tmp_path}/documents.parquet'")
+    shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+    expected = con.execute(entry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(expected.columns) and rows(got, columns) == rows(expected, columns)
+
+
 def test_every_sql_has_a_query():
     assert entry.oracle_sql().keys() <= entry.queries().keys() and len(registry.queries()) > 50
 
