@@ -124,6 +124,24 @@ def test_alignment_with_a_gap_and_nothing():
     assert align.align("", ["ACGT"]).steps == [] and align.align("ACGT", []).steps == []
 
 
+@pytest.mark.parametrize("size", [1, 2, 19, 100, 150])
+def test_low_memory_alignment_is_the_same(size):
+    rng = random.Random(size)
+    make = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    query = make(size)
+    targets = [query[: size // 3] + make(40), make(7) + query[size // 3 + 2 :], "", make(30) + query[size // 4 : size // 2]]
+    whole, frugal = align.align(query, targets), align.align(query, targets, low_memory=True)
+    assert whole.rows_held == size and frugal.rows_held <= size**0.5 + 1
+    whole.rows_held = frugal.rows_held
+    assert frugal == whole
+
+
+def test_panel_by_low_memory(spark):
+    rows = spark.createDataFrame([(1, "GTAGGCGAGTCCCGTTTATA"), (2, "CCACAGAAGATGACGCCATT"), (3, "GTAGGCGAGATGACGCCAT")], "id long, seq string")
+    shown = [sorted(map(tuple, align.align_panel(rows, rows, cells=cells).collect())) for cells in (0, 1 << 20)]
+    assert shown[0] == shown[1]
+
+
 def test_align_all_rows(spark):
     df = spark.createDataFrame([(1, "ACGTACGT", ["ACGTACGT"]), (2, None, None)], "query_id long, query string, targets array<string>")
     rows = align.align_all(df).orderBy("n").collect()
