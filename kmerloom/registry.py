@@ -607,6 +607,17 @@ def binary_roundtrip(spark, sf):
     return written(binary.read_graph_file(spark, path).nodes, "read-back")
 
 
+@query(f"x AS (SELECT 1) SELECT kmer, {', '.join(f'c{c}, e{c}' for c in range(COLORS))} FROM {_wide('g', COLORS)} WHERE kmer IN ('AAAAAAAAAAA', 'ATATATATATA') OR kmer LIKE 'ACGT%'")
+def file_lookup(spark, sf):
+    """Write the graph as a file; its reader seeks single k-mers and those of a prefix."""
+    from .sources import binary
+
+    path = f"{shared_root(spark)}/graph-{uuid.uuid4().hex}.bin"
+    binary.write_graph_file(graph(spark, sf), path)
+    found = binary.find_kmers(spark, path, ["AAAAAAAAAAA", "ATATATATATA"]).unionByName(binary.read_wide(spark, path, prefix="ACGT"))
+    return written(found.select("kmer", *[x for c in range(COLORS) for x in (F.col("coverage")[c].alias(f"c{c}"), F.col("edges")[c].alias(f"e{c}"))]), "read-back")
+
+
 @query("x AS (SELECT 1) SELECT * FROM (VALUES (6, 31, 1, 5, 33)) h(version, k, words, colors, record_size)")
 def header_roundtrip(spark, sf):
     from .sources import binary

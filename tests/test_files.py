@@ -68,6 +68,28 @@ def test_graph_file_round_trip(spark, tmp_path, k):
         binary.read_wide(spark, path).collect()
 
 
+@pytest.mark.parametrize("k", [5, 33])
+def test_lookups_read_their_own_records_only(spark, tmp_path, k):
+    rng = random.Random(2)
+    path = str(tmp_path / "x.graph")
+    binary.write_graph_file(g.read_graph(spark, [("a", "".join(rng.choice("ACGT") for _ in range(300)))], k), path)
+    rows = [tuple(r) for r in binary.read_wide(spark, path, "row_idx,kmer").orderBy("row_idx").collect()]
+    kmers = [kmer for _, kmer in rows]
+    some, middle = kmers[len(rows) // 2], len(rows) // 2
+    absent = next(x for x in ("A" * k, "G" * k, "T" * k, "C" * k) if x not in kmers)
+    for asked in ([some], [absent], [], [kmers[-1], some, absent, kmers[0], some], kmers, kmers[3:7]):
+        assert sorted(map(tuple, binary.find_kmers(spark, path, asked, "row_idx,kmer").collect())) == [r for r in rows if r[1] in asked]
+    for prefix in ("", "A", some[:3], some, some + "A", "TTTTT"):
+        got = binary.read_wide(spark, path, "row_idx,kmer", prefix=prefix, recordsPerPartition=3)
+        assert sorted(map(tuple, got.collect())) == [r for r in rows if r[1].startswith(prefix)]
+    parts = binary._SeekingReader(path, ["kmer"], 1 << 20, [(x, x + "~") for x in (kmers[0], some, kmers[middle + 1])]).partitions()
+    assert [(p.first, p.count) for p in parts] == [(0, 1), (middle, 2)]
+    with pytest.raises(ValueError, match="mers"):
+        binary.find_kmers(spark, path, ["AC"])
+    with pytest.raises(Exception, match="not both"):
+        binary.read_wide(spark, path, kmers=some, prefix="A").count()
+
+
 def test_fasta_round_trip(spark, tmp_path):
     path = tmp_path / "x.fa"
     path.write_text(">one first\nACGT\nAC\n\n>two\nTT\n")

@@ -20,7 +20,7 @@ def rows(frame, columns):
     return sorted(tuple(map(str, r)) for r in frame[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["kmer_color_coverage", "graph_view_text", "consistent_edges", "overlay_delete", "color_filter", "unitig_edges", "subgraph_forward", "tips", "graph_validate", "contig_edges", "boundary_annotation", "sorted_rank"])
+@pytest.mark.parametrize("name", ["kmer_color_coverage", "graph_view_text", "consistent_edges", "overlay_delete", "color_filter", "unitig_edges", "subgraph_forward", "tips", "graph_validate", "contig_edges", "boundary_annotation", "sorted_rank", "file_lookup"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
