@@ -20,8 +20,8 @@ from .common import frugal, slices, utf8, written
 
 #: Bytes of text whose pre-tokens share one dictionary.
 BLOCK_BYTES = 48 << 20
-#: Parts of the set of all pre-tokens that are counted one at a time.
-BUCKETS = 512
+#: The set of all pre-tokens is counted in at least so many parts, and in so many a shuffle partition.
+LEAST_BUCKETS, BUCKETS_A_PARTITION = 512, 4
 
 # The byte-level splitting pattern and the white space it means.
 _SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -110,9 +110,15 @@ def unpack_words(raw: bytes) -> tuple[np.ndarray, list[str]]:
     return places, column.to_pylist()
 
 
-def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
+def bucket_count(partitions: int) -> int:
+    """Parts of the set of all pre-tokens: they grow with the cluster's shuffle partitions, so that
+    neither the tasks that count nor what one of them remembers is held to a fixed number."""
+    return max(LEAST_BUCKETS, BUCKETS_A_PARTITION * partitions)
+
+
+def pre_token_blocks(docs: DataFrame, path: str, buckets: int = LEAST_BUCKETS) -> DataFrame:
     """Per block of documents: their pre-token frequencies by place in the block's dictionary
-    (bucket null), and the dictionary in rows of the words of one bucket."""
+    (bucket null), and the dictionary in rows of the words of one of ``buckets`` parts."""
 
     def run(batches):
         split = splitter(path)
@@ -131,14 +137,14 @@ def pre_token_blocks(docs: DataFrame, path: str) -> DataFrame:
                     rows.append((at[order], n[order]))
                 packed = pack_rows(rows)
                 name = xxhash.xxh64_intdigest(packed + repr(ids[a:b]).encode()) - 2**63
-                buckets: dict[int, tuple[list[int], list[str]]] = {}
+                parts: dict[int, tuple[list[int], list[str]]] = {}
                 for word in sorted(place):
-                    places, words = buckets.setdefault(zlib.crc32(word.encode()) % BUCKETS, ([], []))
+                    places, words = parts.setdefault(zlib.crc32(word.encode()) % buckets, ([], []))
                     places.append(place[word])
                     words.append(word)
-                n = len(buckets)
+                n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (n + 1), pa.int64()), pa.array([None, *buckets], pa.int32()), pa.array([ids[a:b], *[None] * n], pa.list_(pa.int64())), pa.array([lengths[a:b].tolist(), *[None] * n], pa.list_(pa.int64())), pa.array([packed, *[pack_words(*x) for x in buckets.values()]], pa.binary())],
+                    [pa.array([name] * (n + 1), pa.int64()), pa.array([None, *parts], pa.int32()), pa.array([ids[a:b], *[None] * n], pa.list_(pa.int64())), pa.array([lengths[a:b].tolist(), *[None] * n], pa.list_(pa.int64())), pa.array([packed, *[pack_words(*x) for x in parts.values()]], pa.binary())],
                     names=_BLOCK.names,
                 )
 
@@ -149,8 +155,8 @@ def count_pieces(dictionaries: DataFrame, path: str) -> DataFrame:
     """``block, packed`` (places and pieces) of ``block, bucket, packed``: each distinct pre-token is cut once.
 
     A bucket's rows come from all blocks to one place, one after another; what a row has in
-    common with those before it is known already. BUCKETS bounds what is remembered at a time
-    to that share of all distinct pre-tokens.
+    common with those before it is known already. What is remembered at a time is one bucket's
+    share of all distinct pre-tokens.
     """
 
     def run(batches):
@@ -181,7 +187,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     each block's distinct pre-tokens and not every document's. Null text is empty: no bytes, no
     tokens. Repeated rows are counted each for itself.
     """
-    blocks = written(pre_token_blocks(docs, path), "pre-tokens")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written(pre_token_blocks(docs, path, bucket_count(partitions)), "pre-tokens")
     counted = count_pieces(blocks.where("bucket IS NOT NULL").select("block", "bucket", "packed"), path)
     tables = counted.groupBy("block").applyInArrow(_table, "block long, pieces binary")
     joined = blocks.where("bucket IS NULL").select("block", "doc_ids", "n_bytes", "packed").join(tables, "block", "left")

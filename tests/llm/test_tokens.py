@@ -39,6 +39,18 @@ def test_counts_of_nothing_and_of_equal_rows(spark):
     assert got == sorted([(1, 9, 2, False)] * 2 + [(None, 0, 0, False)], key=str)
 
 
+def test_more_shuffle_partitions_mean_more_buckets_and_the_same_counts(spark):
+    path, key = P.path("byte_bpe_50k.json"), "spark.sql.shuffle.partitions"
+    assert [token_counts.bucket_count(n) for n in (1, 128, 129, 20000)] == [512, 512, 516, 80000]
+    rows = spark.createDataFrame(list(enumerate(texts(100, 3))), "doc_id long, text string").repartition(3)
+    before, few = spark.conf.get(key), sorted(map(tuple, token_counts.token_counts(rows, path).collect()))
+    try:
+        spark.conf.set(key, "150")
+        assert sorted(map(tuple, token_counts.token_counts(rows, path).collect())) == few
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_packing_round_trips():
     rows = [(np.array([0, 3, 9]), np.array([1, 2, 1])), (np.array([], int), np.array([], int)), (np.array([2]), np.array([70000]))]
     counts, places, n = token_counts.unpack_rows(token_counts.pack_rows(rows))
