@@ -124,7 +124,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, factor: int = 256) ->
     queries = queries.withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"}).withColumn("column", F.pmod(F.xxhash64("q_ids"), F.lit(columns)).cast("int")).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
     candidates = blocks(rows, VECTORS_PER_BLOCK)
     candidates = candidates.withColumnsRenamed({"ids": "c_ids", "matrix": "c_matrix"}).withColumn("line", F.pmod(F.xxhash64("c_ids"), F.lit(lines)).cast("int")).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-    pairs = candidates.join(queries, ["width", "line", "column"]).drop("line", "column")
+    # sizes that Spark estimates know neither the blocks nor their copies; without the hint all copies of
+    # all queries pass through the driver wherever the rows they are made of seem small
+    pairs = candidates.hint("merge").join(queries.hint("merge"), ["width", "line", "column"]).drop("line", "column")
 
     def search(batches):
         for batch in batches:

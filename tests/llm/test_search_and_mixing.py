@@ -105,6 +105,13 @@ def test_query_rows_with_one_id_ask_once(spark):
     assert got == [(0, 1, 7, 65536), (0, 2, 8, 32768)]
 
 
+def test_top_k_sends_no_block_through_the_driver(spark):
+    rng = random.Random(4)
+    df = topk.top_k(spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "vec_id long, embedding array<double>"))
+    assert len(df.collect()) == 30
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mixing_repeated_rows_and_a_long_text(spark):
     rows = [(1, "w " * 50_000, "a")] * 2 + [(2, "b c", "b")] * 3 + [(3, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
