@@ -49,6 +49,21 @@ def test_documents_of_any_language_or_none_are_in(spark, tmp_path, name):
     assert columns == sorted(expected.columns) and rows(got, columns) == rows(expected, columns)
 
 
+#: Queries whose working tables have a row for each unitig or dead end, not for each k-mer (66,257 here).
+COMPACT = ["unitig_strings"]
+
+
+@pytest.mark.parametrize("name", COMPACT)
+def test_no_table_of_single_kmers_is_written(spark, tmp_path, monkeypatch, name):
+    import pyarrow.parquet as pq
+
+    from kmerloom.plans import persist
+
+    monkeypatch.setattr(persist, "shared_root", lambda _: f"file://{tmp_path}")
+    entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
+    assert max(sum(pq.ParquetFile(f).metadata.num_rows for f in folder.glob("*.parquet")) for folder in tmp_path.iterdir()) < 5000
+
+
 def test_every_sql_has_a_query():
     assert entry.oracle_sql().keys() <= entry.queries().keys() and len(registry.queries()) > 50
 

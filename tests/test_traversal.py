@@ -216,3 +216,23 @@ def test_four_graphs_assemble_from_two_seeds(spark):
 def test_a_tangle_is_given_up_by_itself(spark):
     rows = paths.simple_paths(reads(spark, "CAACC", "AAACA", "AAACT", "GGGCG"), ["AAA"], component_paths=3).collect()
     assert {(r.seq, r.complete) for r in rows} >= {(None, False)} and any(r.complete for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_of_reads_give_the_unitigs_of_doubling(spark, monkeypatch, seed):
+    """Common runs counted in parts, several slices, and open ends met by rounds instead of in one task."""
+    from dataclasses import replace
+
+    from kmerloom.plans import compact, local
+
+    rng = random.Random(seed)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    texts = [(c, t) for c in (0, 1) for t in (base[40:200], base[150:] + base[:20], "AC" * 20, base[60:90] + "".join(rng.choice("ACGT") for _ in range(50)), "GATTACAGGATTACAGGATTAC", "AAAAAAAAAAA", "AC")]
+    graph = g.build(spark.createDataFrame(texts, "color int, seq string"), 7, ("a", "b"))
+    long = {(r.contig, r.repr, r.n_kmers, r.is_cycle) for r in unitigs._find_long(graph).primary().collect()}
+    monkeypatch.setattr(compact, "SLICE", 64)
+    monkeypatch.setattr(compact, "COUNTED", 5)
+    monkeypatch.setattr(local, "ONE_TASK", seed)
+    source = spark.createDataFrame(texts, "color int, text string").repartition(3)
+    found = unitigs.find_unitigs(replace(graph, source=source)).primary().collect()
+    assert {(r.contig, r.repr, r.n_kmers, r.is_cycle) for r in found} == long and len(found) == len(long)
