@@ -236,3 +236,17 @@ def test_blocks_of_reads_give_the_unitigs_of_doubling(spark, monkeypatch, seed):
     source = spark.createDataFrame(texts, "color int, text string").repartition(3)
     found = unitigs.find_unitigs(replace(graph, source=source)).primary().collect()
     assert {(r.contig, r.repr, r.n_kmers, r.is_cycle) for r in found} == long and len(found) == len(long)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tips_over_unitigs_are_those_of_a_walk(spark, seed):
+    from dataclasses import replace
+
+    rng = random.Random(seed)
+    base = "".join(rng.choice("ACGT") for _ in range(100))
+    texts = [(c % 2, base[a : a + 30] + "".join(rng.choice("ACGT") for _ in range(c % 5))) for c, a in enumerate(range(0, 70, 7))]
+    graph = g.build(spark.createDataFrame(texts, "color int, seq string"), 7, ("a", "b"))
+    source = replace(graph, source=spark.createDataFrame(texts, "color int, text string"))
+    assert kmers(traverse.tips(source, 5)) == kmers(traverse.tips(graph, 5)) != set()
+    row = lambda r: (r.kmer, r.color, r.coverage, r.edges)
+    assert {row(r) for r in traverse.prune_tips(source, 5).nodes.collect()} == {row(r) for r in traverse.prune_tips(graph, 5).nodes.collect()}
