@@ -50,7 +50,7 @@ def test_documents_of_any_language_or_none_are_in(spark, tmp_path, name):
 
 
 #: Queries whose working tables have a row for each unitig or dead end, not for each k-mer (66,257 here).
-COMPACT = ["unitig_strings", "prune_tips", "tips", "simple_paths", "unitig_json", "consistent_orientation", "subgraph_forward", "subgraph_both", "unitig_edges", "cycle_unitigs", "unitig_coverage", "fasta_paths", "subgraph_reverse"]
+COMPACT = ["unitig_strings", "prune_tips", "tips", "simple_paths", "unitig_json", "consistent_orientation", "subgraph_forward", "subgraph_both", "unitig_edges", "cycle_unitigs", "unitig_coverage", "fasta_paths", "subgraph_reverse", "max_nodes_guard"]
 
 
 @pytest.mark.parametrize("name", COMPACT)
